@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: The folder that holds this package.
+ROOT = str(Path(__file__).resolve().parents[2])
 #: A key column is broadcast only if its rows, counted first, stay below this many bytes.
 BROADCAST_BYTES = 24 << 20
 #: Rows handed to a Python worker at once; long texts keep a batch of this size small.
@@ -18,7 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Lower the Arrow batch size, so that a batch of long texts stays small."""
+    """Lower the Arrow batch size, so that a batch of long texts stays small, and let workers find this package.
+
+    Workers that have the package installed ignore the path.
+    """
+    environment = spark.sparkContext.environment
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), ROOT]))
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if not 0 < rows <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, session
 from corvane.llm.graph import components
 
 #: Vectors in a group at most (on average), and groups at least.
@@ -126,6 +126,7 @@ def tile_links(x: np.ndarray, y: np.ndarray, rotation: np.ndarray, threshold: fl
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row; links hold from cosine ``threshold`` on."""
+    session(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.bpe import Memo
+from corvane.llm.common import session
 
 #: About so many characters a block and windows a range of hashes.
 BLOCK_CHARS, RANGE_WINDOWS = 6 << 20, 1 << 21
@@ -114,7 +115,7 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, removed`` (intervals of word positions), ``kept`` (text) of each row."""
-    spark = docs.sparkSession
+    spark = session(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     least = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
