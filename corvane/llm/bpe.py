@@ -36,9 +36,19 @@ _EDGE = re.compile(r"\s\s|\A\s|\s\Z")
 class Memo(dict):
     """A bounded dict that computes what it lacks; ``map(memo.__getitem__, keys)`` runs in C."""
 
+    made: list[Memo] = []
+
     def __init__(self, make, limit: int = MEMO) -> None:
         super().__init__()
         self.make, self.limit = make, limit
+        Memo.made.append(self)
+
+    @staticmethod
+    def only(*memos: Memo) -> None:
+        """Empty all other memos of this worker, which served operators that ran here before."""
+        for memo in Memo.made:
+            if not any(memo is m for m in memos):
+                memo.clear()
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -164,6 +174,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = codec(vocabulary, pattern).encode
+        Memo.only(codec(vocabulary, pattern).tokens, codec(vocabulary, pattern).chunks)
         for batch in batches:
             ids = [encode_one(x.as_py()) for x in batch.column(1)]
             n = [len(x) >> 2 for x in ids]
@@ -187,8 +198,6 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 def unpack(column: str) -> F.Column:
     """The packed ids as ``array<bigint>``, for users who want a list."""
-    hexed = F.hex(column)
-    return F.transform(
-        F.when(F.length(column) > 0, F.sequence(F.lit(0), F.length(column) / 4 - 1)).otherwise(F.array().cast("array<double>")).cast("array<int>"),
-        lambda i: F.conv(F.concat(*[F.substr(hexed, i * 8 + F.lit(7 - 2 * k), F.lit(2)) for k in range(4)]), 16, 10).cast("bigint"),
-    )
+    hexed, n = F.hex(column), F.floor(F.length(column) / 4).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.concat(*[F.substr(hexed, i * 8 + F.lit(7 - 2 * k), F.lit(2)) for k in range(4)]), 16, 10).cast("bigint"))

@@ -139,6 +139,7 @@ def encode(docs: DataFrame, vocabulary: str, *, end_id: int | None = 1, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(vocabulary)
+        Memo.only(one.memo)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = [np.frombuffer(one(x.as_py()), one.width).astype("<u4").tobytes() + end for x in batch.column(1)]

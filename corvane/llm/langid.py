@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.llm.bpe import Memo
 from corvane.llm.common import session
 
 #: Families of some languages by ISO 639-1 code.
@@ -165,6 +166,7 @@ def keep_known(docs: DataFrame, model: Model, *, least_score: float = 0.0, text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only()
         for batch in batches:
             found = [shared.value.predict(x.as_py()) for x in batch.column(at)]
             yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score in found], pa.bool_()))

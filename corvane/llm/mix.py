@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.llm.common import BROADCAST_BYTES, WORD, materialize
+from corvane.llm.common import BROADCAST_BYTES, WORD, fresh, materialize
 
 HEAVY = 32
 BUCKETS = 4096
@@ -111,9 +111,10 @@ def sample(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> Data
 
     ``mixed`` holds one row for each id; rows of ``docs`` that share an id share its repeats.
     """
-    repeats = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats"))
+    key, times, copy = fresh(docs, "_id"), fresh(docs, "_repeats"), fresh(docs, "_copy")
+    repeats = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(times))
     repeats = materialize(repeats, "repeats")
     if repeats.count() * 32 <= BROADCAST_BYTES:
         repeats = F.broadcast(repeats)
-    rows = docs.join(repeats, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(docs.columns)
+    rows = docs.join(repeats, F.col(id_col).eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)

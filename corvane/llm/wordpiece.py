@@ -97,6 +97,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, prefix: str = "▁", id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary, prefix).__getitem__
+        Memo.only(counter(vocabulary, prefix))
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in batch.column(1):
