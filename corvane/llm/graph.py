@@ -28,3 +28,15 @@ def components(links: DataFrame, *, name: str = "components") -> DataFrame:
         labels = jumped.select("node", "component")
         if not changed:
             return labels
+
+
+def merge(joined: DataFrame, links: DataFrame, *, name: str) -> DataFrame:
+    """``joined`` (node, component) after further ``links`` (a, b): only the components are linked anew."""
+    if links.isEmpty():
+        return joined
+    of = lambda column: joined.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    higher = components(lifted, name=name)
+    nodes = joined.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(joined, "node", "left_anti").withColumn("component", F.col("node")))
+    moved = nodes.join(higher.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+    return materialize(moved.select("node", F.coalesce("further", "component").alias("component")), f"{name}-merged")

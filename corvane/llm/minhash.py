@@ -10,9 +10,11 @@ exact.  A pair at similarity 0.75 misses all bands with odds of 5e-6.
 
 Documents with equal word sequences form one class first, whose least id stands
 for it.  A band's bucket never makes all its pairs: each member is compared
-with two hubs of its bucket, links found this way are joined to components, and
-only then members of different components that still share a bucket are
-compared; between members of one component nothing is left to find.
+with two hubs of its bucket, and links found this way are joined to components.
+Members outside their bucket's first component then meet a few more of its
+members, twice, and at last all members of different components that still
+share a bucket are compared; between members of one component nothing is left
+to find.
 
 Null or empty texts have an empty set and link with nothing; a null id links
 with nothing and counts as kept; rows that repeat an id count as one document;
@@ -31,19 +33,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import anti, materialize, semi, session
-from corvane.llm.graph import components
+from corvane.llm.common import anti, fresh, materialize, semi, session
+from corvane.llm.graph import components, merge
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
 #: Candidates are kept down to this far below the threshold: 4.5 standard deviations of the estimate.
 SLACK = 0.18
+#: Turns in which open buckets are narrowed, and the members met in each.
+TURNS, HUBS = 2, 4
 _WORDS = MINIMA * BITS // 64
 
 
 @lru_cache(maxsize=1)
 def _hasher() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 600_000)
+    return Memo(xxhash.xxh3_64_intdigest, 300_000)
 
 
 @lru_cache(maxsize=1)
@@ -95,6 +99,7 @@ def sign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only(_hasher())
         for batch in batches:
             n, seq, bands, bits = [], [], [], []
             for text in batch.column(1):
@@ -132,6 +137,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only(_hasher())
         for batch in batches:
             sets = [shingle_hashes(x.as_py().lower().split()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
@@ -149,6 +155,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, name: str) -> D
     return sides.withColumn("both", both).where((F.col("both") * 100) >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b")
 
 
+def _open_members(shared: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """``band, rep, component, lo`` of the buckets whose members are in different components; lo: the least of these."""
+    spread = shared.select("band", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = materialize(spread, f"{name}-spread")
+    mixed = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    return materialize(spread.join(materialize(mixed.select("band", "lo"), f"{name}-mixed"), "band"), f"{name}-open")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; links hold from ``percent`` of the union on."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,19 +192,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
     links = materialize(_confirmed(tried, texts, percent, "star"), "links")
     joined = components(links)
 
-    # members of different components that share a band: compared once more, by signature, inside the join
-    spread = shared.select("band", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = materialize(spread, "spread")
-    mixed = materialize(spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"), "mixed-bands")
-    open_ = materialize(spread.join(mixed, "band").join(light, "rep"), "open-members")
+    # a bucket's members outside its first component meet a few of that component's members, chosen by hash;
+    # in a large group of near copies nearly all join it here
+    for turn in range(TURNS):
+        open_ = _open_members(shared, joined, f"turn{turn}")
+        chosen = [F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * turn + k)), "rep"))["rep"] for k in range(HUBS)]
+        first = materialize(open_.where("component = lo").groupBy("band").agg(F.array(*chosen).alias("hubs")), f"turn{turn}-hubs")
+        stars = open_.where("component <> lo").join(first, "band").select("rep", F.explode("hubs").alias("hub"))
+        stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        more = materialize(plausible(stars.join(tried, ["a", "b"], "left_anti")), f"turn{turn}-candidates")
+        found = materialize(_confirmed(more, texts, percent, f"turn{turn}"), f"turn{turn}-links")
+        tried = tried.unionByName(more)
+        joined = merge(joined, found, name=f"turn{turn}-components")
+
+    # what is left: members of different components that share a band, compared by signature inside the join
+    open_ = materialize(_open_members(shared, joined, "last").join(light, "rep"), "open-members")
     x = open_.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
     y = open_.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
     more = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate("xa", "xb") >= floor))
-    more = more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(more, "cross-candidates")
-    found = materialize(_confirmed(more, texts, percent, "cross"), "cross-links")
-    if not found.isEmpty():
-        joined = components(links.unionByName(found), name="all-components")
+    more = materialize(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-candidates")
+    joined = merge(joined, materialize(_confirmed(more, texts, percent, "cross"), "cross-links"), name="all-components")
 
     of_class = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component"))
     of_doc = materialize(of_class.groupBy("doc_id").agg(F.min("_component").alias("_component")), "class-components")
@@ -201,5 +222,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
 def deduplicate(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the least id."""
     found = near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col)
-    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "not-kept")
-    return anti(docs.withColumn("_gone", F.col(id_col).cast("long")), gone, "_gone").select(docs.columns)
+    key = fresh(docs, "_gone")
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "not-kept")
+    return anti(docs.withColumn(key, F.col(id_col).cast("long")), gone, key).select(docs.columns)
