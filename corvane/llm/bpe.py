@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corvane.llm.common import session
 
 #: Entries of each memo in a worker; a full memo starts anew.
-MEMO = 400_000
+MEMO = 300_000
 _EDGE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
@@ -70,7 +70,7 @@ class ByteBPE:
             self.pieces[rank] = piece
         self.leaves = [0] * 1024  # the rank bitmap; all zero between calls
         self.findall = regex.compile(pattern).findall
-        self.tokens = Memo(lambda token: np.array(self.merge(token.encode()), "<u4").tobytes(), MEMO * 3 // 2)
+        self.tokens = Memo(lambda token: np.array(self.merge(token.encode()), "<u4").tobytes(), MEMO * 5 // 3)
         self.chunks = Memo(self._chunk)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -163,14 +163,20 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """``id_col``, ``n_tokens`` and ``ids`` (binary: little-endian unsigned 32-bit) of each row.
 
+    ``with_decoded`` adds ``decoded``, as :func:`decode` does, in the same pass: a
+    second Python step would hold a second worker, with its own vocabulary and
+    memos, for every task.
+
     ``vocabulary`` is the path of a rank file that every executor has.
     """
     session(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = T.StructType([rows.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if with_decoded:
+        out = out.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = codec(vocabulary, pattern).encode
@@ -178,7 +184,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
         for batch in batches:
             ids = [encode_one(x.as_py()) for x in batch.column(1)]
             n = [len(x) >> 2 for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
+            if with_decoded:
+                columns.append(pa.array(list(map(codec(vocabulary, pattern).decode, ids)), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
 
     return rows.mapInArrow(run, out)
 

@@ -114,6 +114,7 @@ def sign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(seq, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "sequence", "bands", "bits"],
             )
+        Memo.only()  # word hashes are cheap to make again; an idle worker holds none
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, sequence binary, bands array<long>, bits array<long>")
 
@@ -141,6 +142,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             sets = [shingle_hashes(x.as_py().lower().split()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        Memo.only()
 
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 

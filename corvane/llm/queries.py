@@ -26,7 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     args = _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(_documents(spark, sf_dir, "doc_id", "text"), *args), *args)
+    both = bpe.encode(_documents(spark, sf_dir, "doc_id", "text"), *args, with_decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

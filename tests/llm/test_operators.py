@@ -60,6 +60,7 @@ def test_bpe(table, empty):
 
     docs, plain = table
     both = bpe.decode(bpe.encode(docs, *VOCABULARY), *VOCABULARY)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, bpe.encode(docs, *VOCABULARY, with_decoded=True).collect()), key=str)
     same(both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), brute.op1(plain))
     row = bpe.encode(docs.where("text = 'a b c'"), *VOCABULARY).select(bpe.unpack("ids").alias("u"), "ids").first()
     assert row["u"] == np.frombuffer(row["ids"], "<u4").tolist()
