@@ -82,6 +82,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_byte_bpe, op2_mix_sources, op3_minhash_dedup, op4_substring_dedup, op5_fingerprint, op6_embedding_dedup, op7_language_id, op8_token_file, op9_token_counts, op10_pii)
 }
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _components(node: str) -> str:
+    """``comp (node, component)`` from ``links (a, b)``, by plain reachability."""
+    return f"""edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS {node}, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.{node}),
+    comp AS (SELECT {node}, min(root) AS component FROM reach GROUP BY {node})"""
+
+
 #: DuckDB SQL with the same result, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+    starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM starts),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    {_components("doc_id")}
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id""",
+    "op4_substring_dedup": f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+    starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+    win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s FROM starts),
+    first_in AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
+    repeats AS (SELECT doc_id, i FROM win JOIN first_in USING (s) WHERE d < doc_id),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM repeats, (SELECT unnest(range(13)) AS k)),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+    marked AS (SELECT x.doc_id, x.i, word, g.i IS NOT NULL AS cut FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i),
+    edged AS (SELECT *, cut AND NOT lag(cut, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM marked),
+    done AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (cut) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT cut) AS kept, count(*) FILTER (opens) AS n_intervals FROM edged GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_intervals, 0) AS INTEGER) AS n_intervals
+    FROM documents d LEFT JOIN done ON done.doc_id = d.doc_id""",
+    "op6_embedding_dedup": f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id WHERE CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= 0.9 ELSE false END),
+    {_components("vec_id")},
+    counts AS (SELECT a AS vec_id, count(*) AS n FROM edges GROUP BY a)
+    SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(component, v.vec_id) AS component_id, coalesce(component, v.vec_id) = v.vec_id AS kept
+    FROM v LEFT JOIN counts ON counts.vec_id = v.vec_id LEFT JOIN comp ON comp.vec_id = v.vec_id""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -11,6 +12,7 @@ import pytest
 
 from corvane.llm import bpe, dac, embed, fingerprint, langid, minhash, mix, pii, substring, wordpiece
 from corvane.llm.graph import components
+from corvane.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import brute
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -255,6 +257,18 @@ def test_disclosing_terms(spark):
     assert "[TERM]" in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()["text"]
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    """The queries that SQL can express, against it, on whole tables."""
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = db.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    same(got, want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
