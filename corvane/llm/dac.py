@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import session
+from corvane.llm.common import materialize, session
 
 SEGMENT_IDS = 1 << 20
 DIRECTORY = 512
@@ -166,8 +166,10 @@ def _narrow(encoded: DataFrame) -> DataFrame:
 def write(encoded: DataFrame, path: str, *, partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
     """Write the rows of :func:`encode` at ``path``, in ascending ``doc_id`` order.
 
-    One range shuffle of the packed ids; each task writes its range as segments
-    of about ``segment_ids`` ids.
+    The packed ids are written to the shared folder first: a range shuffle reads
+    its input twice, once to find the ranges, and would encode twice.  One range
+    shuffle follows; each task writes its range as segments of about
+    ``segment_ids`` ids.
     """
     spark = encoded.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -193,7 +195,7 @@ def write(encoded: DataFrame, path: str, *, partitions: int | None = None, segme
         if docs:
             yield close()
 
-    ordered = _narrow(encoded).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = materialize(_narrow(encoded), "packed-ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(run, _SEGMENT).write.parquet(path)
 
 
