@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import materialize, session
+from corvane.llm.common import BROADCAST_BYTES, materialize, session
 
 SEGMENT_IDS = 1 << 20
 DIRECTORY = 512
@@ -230,8 +230,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), known, pa.array(ends[to] - lens[to]), pa.array(lens[to]), pa.array(cut, pa.binary())], names=["part", "segment", "doc_id", "inside", "n_tokens", "ids"])
 
     docs = table.mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids binary")
-    # narrow side last: the rows with ids stay where they are if the segment list is small enough to send
-    at = segments(spark, path).select("part", "segment", F.col("start").alias("segment_start"))
+    at = materialize(segments(spark, path).select("part", "segment", F.col("start").alias("segment_start")), "segment-starts")
+    if at.count() * 32 <= BROADCAST_BYTES:  # then the rows with ids stay where they are
+        at = F.broadcast(at)
     return docs.join(at, ["part", "segment"]).select("doc_id", (F.col("segment_start") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
