@@ -14,7 +14,9 @@ with two hubs of its bucket, and links found this way are joined to components.
 Members outside their bucket's first component then meet a few more of its
 members, twice, and at last all members of different components that still
 share a bucket are compared; between members of one component nothing is left
-to find.
+to find.  A group can hold many pairs just below the threshold, which no bucket
+keeps apart, so this last comparison also uses one bit of each of 2,048 further
+minima, and a pair is taken in the first bucket that it shares alone.
 
 Null or empty texts have an empty set and link with nothing; a null id links
 with nothing and counts as kept; rows that repeat an id count as one document;
@@ -40,6 +42,8 @@ SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
 #: Candidates are kept down to this far below the threshold: 4.5 standard deviations of the estimate.
 SLACK = 0.18
+#: One-bit minima of the last comparison, and their slack: again 4.5 standard deviations.
+FINE, FINE_SLACK = 2048, 0.066
 #: Turns in which open buckets are narrowed, and the members met in each.
 TURNS, HUBS = 2, 4
 _WORDS = MINIMA * BITS // 64
@@ -51,10 +55,10 @@ def _hasher() -> Memo:
 
 
 @lru_cache(maxsize=1)
-def _random() -> tuple[np.ndarray, np.ndarray]:
+def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     odd = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-    return odd(SHINGLE), odd(MINIMA)
+    return odd(SHINGLE), odd(MINIMA), odd(FINE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,13 +82,23 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def _minima(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    minima = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 17) // len(factors))
+    for at in range(0, len(hashes), step):
+        np.minimum(minima, (hashes[None, at : at + step] * factors[:, None]).min(axis=1), out=minima)
+    return _mix(minima)
+
+
+def fine_bits(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of ``FINE`` minima of a non-empty set, packed into 64-bit integers."""
+    bits = (_minima(hashes, _random()[2]) >> np.uint64(20)).astype(np.uint8) & 1
+    return np.packbits(bits).view("<i8")
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The bands' hashes and the packed low bits of a non-empty set's minima."""
-    factors = _random()[1]
-    minima = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(minima, (hashes[None, at : at + 1024] * factors[:, None]).min(axis=1), out=minima)
-    minima = _mix(minima)
+    minima = _minima(hashes, _random()[1])
     bands = minima.reshape(BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
@@ -132,6 +146,31 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
+def estimate_fine(a: str, b: str) -> Column:
+    """Similarity from two rows of :func:`fine_bits`, corrected for chance, by which half of the bits agree.
+
+    Written over arrays, as 32 terms side by side make a method too long for the JVM to compile.
+    """
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    return 1 - differ / F.lit(FINE / 2)
+
+
+def fine_signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fine`` of each row that has words; see :func:`fine_bits`."""
+    session(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only(_hasher())
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py().lower().split()) for x in batch.column(1)]
+            bits = [fine_bits(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+        Memo.only()
+
+    return rows.mapInArrow(run, "doc_id long, fine array<long>").where("fine is not null")
+
+
 def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, shingles`` (array of 64-bit hashes) of each row."""
     session(docs.sparkSession)
@@ -207,12 +246,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id
         tried = tried.unionByName(more)
         joined = merge(joined, found, name=f"turn{turn}-components")
 
-    # what is left: members of different components that share a band, compared by signature inside the join
-    open_ = materialize(_open_members(shared, joined, "last").join(light, "rep"), "open-members")
-    x = open_.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
-    y = open_.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    more = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate("xa", "xb") >= floor))
-    more = materialize(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-candidates")
+    # what is left: members of different components that share a band, compared by signature inside the join;
+    # a pair whose least shared band is closed has been tried as a star
+    open_ = _open_members(shared, joined, "last")
+    ids = materialize(open_.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    fine = fine_signatures(semi(texts, ids, "doc_id")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    of_rep = materialize(semi(reps, ids.withColumnRenamed("doc_id", "rep"), "rep").join(fine, "rep"), "open-signatures")
+    open_ = materialize(open_.join(of_rep, "rep"), "open-members")
+    side = lambda s: open_.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n_shingles", "bands", "bits", "fine")])
+    alike = (
+        (F.col("rep_x") < F.col("rep_y"))
+        & (F.col("component_x") != F.col("component_y"))
+        & (F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent)
+        & (estimate("bits_x", "bits_y") >= floor)
+        & (F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("band"))
+        & (estimate_fine("fine_x", "fine_y") >= percent / 100 - FINE_SLACK)
+    )
+    more = side("x").join(side("y").withColumnRenamed("band", "band_y"), (F.col("band") == F.col("band_y")) & alike)
+    more = more.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "cross-candidates")
     joined = merge(joined, materialize(_confirmed(more, texts, percent, "cross"), "cross-links"), name="all-components")
 
     of_class = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component"))
