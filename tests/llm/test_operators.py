@@ -117,6 +117,13 @@ def test_signature_estimates():
     assert abs((equal / 128 - 1 / 16) / (15 / 16) - 0.8) < 0.15 and len(ka) == len(kb) == 32
 
 
+def test_fine_estimate(spark):
+    a = minhash._mix(np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    row = (minhash.fine_bits(a[:900]).tolist(), minhash.fine_bits(a[100:]).tolist())
+    got = spark.createDataFrame([row], "x array<long>, y array<long>").select(minhash.estimate_fine("x", "y")).first()[0]
+    assert abs(got - 0.8) < minhash.FINE_SLACK
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(chain).collect()}
