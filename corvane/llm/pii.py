@@ -1,33 +1,34 @@
 """Personal data by patterns, then information-theoretic sanitisation.
 
 Patterns find the base spans: e-mail addresses, IP addresses, card and phone
-numbers.  Each value found is a protected entity.  The words around its spans
+numbers.  Each value found is a protected entity.  The words of its documents
 are terms that may reveal it: over the whole corpus, an entity's documents, a
-term's documents and the documents where the term stands near the entity give
-the normalised pointwise mutual information of the two.  At 1 the term occurs
-exactly where the entity does, and so names it as surely as the value itself.
-Terms that reach the disclosure threshold in at least ``support`` documents are
-marked wherever they stand near the entity.  Sanitising generalises them as it
-does the base spans: each span gives way to a placeholder of its kind.
-
-A term is a word of at least three letters, lower-cased, within ``reach`` words
-of a span.  Null texts count as empty and have no spans; rows that repeat an id
-count as one document in the statistics and each get their own spans; a null id
-takes part in no statistics; extra columns are kept by :func:`sanitise`; an
+term's documents and the documents that hold both give the normalised pointwise
+mutual information of the two.  At 1 the term occurs exactly where the entity
+does, and so names it as surely as the value itself.  Terms that reach the
+disclosure threshold in at least ``support`` documents are marked wherever they
+stand in the entity's documents.  Sanitising generalises them as it does the
+base spans: each span gives way to a placeholder of its kind.
+
+A term is a word of at least three letters, lower-cased; words that touch a
+base span count, but are not marked again.  Null texts count as empty and have
+no spans; rows that repeat an id count as one document in the statistics and
+each get their own spans; a null id takes part in no statistics, but its row is
+marked by its own entities; extra columns are kept by :func:`sanitise`; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import fresh, materialize, session
+from corvane.llm.common import BROADCAST_BYTES, anti, fresh, materialize, semi, session
 
 #: Fixed order of the kinds; the method's own kind comes last.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,7 +41,10 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_KEY = "_key struct<none:boolean,at:long>"
+_SPANS = "{} array<struct<kind:string,start:long,end:long>>"
+#: Sums that a task keeps before it hands them on.
+SUMMED = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -78,88 +82,173 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """The terms within ``reach`` words of each span, outside all spans, with the entity they stand near."""
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The distinct entities of the spans: hashes of kind and value, with case and separators levelled."""
     found = {}
-    words = list(_TERM.finditer(text)) if spans else []
-    free, k = [], 0
-    by_end = sorted(spans, key=lambda s: s[2])
-    for w in words:  # words that touch no span
-        while k < len(by_end) and by_end[k][2] <= w.start():
-            k += 1
-        if k == len(by_end) or all(s[1] >= w.end() or s[2] <= w.start() for s in by_end[k : k + 4]):
-            free.append(w)
-    starts = [w.start() for w in free]
     for kind, start, end in spans:
         value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", text[start:end])
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
-        at = bisect_left(starts, start)
-        for w in free[max(0, at - reach) : at + reach]:
-            found[entity, w.start()] = {"entity": entity, "term": w[0].lower(), "start": w.start(), "end": w.end()}
-    return list(found.values())
+        found[xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)] = None
+    return list(found)
+
+
+def words(text: str) -> set[str]:
+    """The distinct terms of a text."""
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], terms: set[str]) -> list[tuple[str, int, int]]:
+    """Every word of ``text`` that is one of ``terms`` and touches no span."""
+    covered: list[list[int]] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    out, k = [], 0
+    for w in _TERM.finditer(text):
+        while k < len(covered) and covered[k][1] <= w.start():
+            k += 1
+        if w[0].lower() in terms and (k == len(covered) or covered[k][0] >= w.end()):
+            out.append(("term", w.start(), w.end()))
+    return out
 
 
-def find_base(docs: DataFrame, *, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` (array of kind, start, end) and ``near`` (terms near entities) of each row."""
-    session(docs.sparkSession)
+def _structs(spans: list[tuple[str, int, int]]) -> list[dict]:
+    return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_key, doc_id, text``: rows share a key if they repeat an id or, without one, the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.xxhash64("text")).alias("at"))
+    return rows.select(key.alias("_key"), "doc_id", "text")
+
+
+def find_base(rows: DataFrame) -> DataFrame:
+    """``_key, doc_id, spans`` (array of kind, start, end) and ``entities`` of each row."""
+    session(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
-            for text in batch.column(1).to_pylist():
+            spans, held = [], []
+            for text in batch.column(2).to_pylist():
                 own = base_spans(text)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                near.append(near_terms(text, own, reach))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "spans", "near"])
+                spans.append(_structs(own))
+                held.append(entities(text, own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(held, pa.list_(pa.int64()))], names=["_key", "doc_id", "spans", "entities"])
+
+    return rows.mapInArrow(run, f"{_KEY}, doc_id long, {_SPANS.format('spans')}, entities array<long>")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,term:string,start:long,end:long>>")
 
+def attach(rows: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
+    """``rows`` joined by ``_key`` to ``side`` (one row a key, ``column`` an array), which is broadcast only if it is counted small."""
+    size = F.size(column) * 8 if dict(side.dtypes)[column] == "array<bigint>" else F.aggregate(column, F.lit(0), lambda a, x: a + 16 + F.length(x))
+    if (side.agg(F.sum(32 + size)).first()[0] or 0) <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    return rows.join(side, "_key", how)
 
-def document_counts(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, in_documents``: in how many documents each of ``terms`` stands, over the whole corpus.
 
-    Every document's distinct words are summed by task before they are shuffled
-    and met with the terms, so the join sees a row for each word of the corpus.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``entity, term, n``: parts of the numbers of rows that hold a term, under a null entity and under each of the row's ``entities``.
+
+    Each task sums its rows' distinct words before they are shuffled.
     """
-    words = docs.where(F.col(id_col).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0)))).alias("term"))
-    # an inner join: the optimiser would move a semi join below the sums
-    return words.groupBy("term").agg(F.count("*").alias("in_documents")).join(terms, "term")
-
-
-def disclosing(docs: DataFrame, base: DataFrame, *, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``entity, term`` pairs whose normalised mutual information reaches ``threshold``."""
-    near = base.where("doc_id is not null").select("doc_id", F.explode("near").alias("n")).select("doc_id", "n.entity", "n.term").distinct()
-    near = materialize(near, "near-terms")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    pairs = materialize(pairs, "pairs")
-    entities = materialize(near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity")), "entities")
-    total = docs.count()
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    # a term's count is at least that of its pairs, so a term without hits cannot arise but for other letter tables
-    counts = materialize(document_counts(docs, terms, id_col=id_col, text_col=text_col), "term-counts")
-    known = pairs.join(entities, "entity").join(counts, "term", "left")
+
+    def flush(pairs: dict[tuple[int | None, str], int]) -> Iterator[pa.RecordBatch]:
+        keys = list(pairs)
+        for k in range(0, len(keys), 20_000):
+            part = keys[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string()), pa.array([pairs[x] for x in part], pa.int64())], names=["entity", "term", "n"])
+        pairs.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone: Counter[str] = Counter()
+        pairs: dict[tuple[int | None, str], int] = {}
+        for batch in batches:
+            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words(text)
+                alone.update(own)
+                for e in held or ():
+                    for t in own:
+                        pairs[e, t] = pairs.get((e, t), 0) + 1
+                    if len(pairs) > SUMMED:
+                        yield from flush(pairs)
+                if len(alone) > SUMMED:
+                    yield from flush({(None, t): n for t, n in alone.items()})
+                    alone.clear()
+        yield from flush({(None, t): n for t, n in alone.items()})
+        yield from flush(pairs)
+
+    return rows.select("text", "entities").mapInArrow(run, "entity long, term string, n long")
+
+
+def word_rows(rows: DataFrame) -> DataFrame:
+    """As :func:`word_counts`, but each document counts once though several rows repeat its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([list(words(text)) for text in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["_key", "words", "entities"])
+
+    lists = rows.select("_key", "text", "entities").mapInArrow(run, f"{_KEY}, words array<string>, entities array<long>")
+    under = F.concat(F.array(F.lit(None).cast("long")), F.coalesce("entities", F.array().cast("array<long>")))
+    terms = lists.select("_key", "entities", F.explode("words").alias("term")).select("_key", F.explode(under).alias("entity"), "term")
+    return terms.distinct().select("entity", "term", F.lit(1).cast("long").alias("n"))
+
+
+def disclosing(rows: DataFrame, holders: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFrame:
+    """``entity, term`` pairs whose normalised mutual information over whole documents reaches ``threshold``.
+
+    ``holders`` are the distinct ``_key, entity``.  An entity or a term in fewer
+    documents than ``support`` cannot share that many, so it goes before the join.
+    """
+    rows, holders = rows.where("not _key.none"), holders.where("not _key.none")
+    of_entity = materialize(holders.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities")
+    held = semi(holders, of_entity.select("entity"), "entity").groupBy("_key").agg(F.collect_list("entity").alias("entities"))
+    held = materialize(held, "held")
+    ids = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    again = materialize(ids.where("n > 1").select("_key"), "repeated-ids")
+    repeats, total = again.count(), ids.count()
+    once = attach(anti(rows, again, "_key") if repeats else rows, held, "entities", "left")
+    sums = word_counts(once)
+    if repeats:
+        sums = sums.unionByName(word_rows(attach(semi(rows, again, "_key"), held, "entities", "left")))
+    sums = materialize(sums.groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "word-sums")
+    pairs = sums.where("entity is not null").withColumnRenamed("n", "together")
+    counts = sums.where("entity is null").select("term", F.col("n").alias("in_documents"))
+    known = pairs.join(of_entity, "entity").join(counts, "term")
     n = F.lit(float(max(total, 1)))
     both = F.col("together") / n
-    apart = F.col("of_entity") / n * (F.greatest(F.col("together"), F.coalesce("in_documents", "together")) / n)
+    apart = F.col("of_entity") / n * (F.col("in_documents") / n)
     npmi = F.when(both >= 1, F.lit(1.0)).otherwise(F.log(both / apart) / -F.log(both))
     return known.where(npmi >= threshold).select("entity", "term")
 
 
-def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, base, spans`` of each row: the base spans, and all spans with the method's own among them."""
-    base = materialize(find_base(docs, reach=reach, id_col=id_col, text_col=text_col), "base-spans")
-    found = materialize(disclosing(docs, base, threshold=threshold, support=support, id_col=id_col, text_col=text_col), "disclosing")
-    near = base.where("doc_id is not null and size(near) > 0").select("doc_id", F.xxhash64("spans", "near").alias("_row"), F.explode("near").alias("n"))
-    near = near.select("doc_id", "_row", "n.*").join(found, ["entity", "term"], "left_semi")
-    added = near.select("doc_id", "_row", F.struct(F.lit("term").alias("kind"), "start", "end").alias("span")).distinct()
-    added = materialize(added.groupBy("doc_id", "_row").agg(F.array_sort(F.collect_list("span")).alias("_added")), "added")
-    # only rows with terms can have got spans: the others need no join
-    rows = base.withColumn("_key", F.xxhash64("spans", "near"))
-    joined = rows.join(added, (rows["doc_id"] == added["doc_id"]) & (F.col("_key") == F.col("_row")), "left").select(rows["doc_id"], "spans", "_added")
-    place = F.create_map(*[F.lit(x) for pair in ((k, i) for i, k in enumerate(KINDS)) for x in pair])
-    ordered = F.transform(F.array_sort(F.transform(F.concat("spans", "_added"), lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.select("doc_id", F.col("spans").alias("base"), F.when(F.col("_added").isNull(), F.col("spans")).otherwise(ordered).alias("spans"))
+    return _find(_keyed(docs, id_col, text_col), threshold, support)
+
+
+def _find(rows: DataFrame, threshold: float, support: int) -> DataFrame:
+    base = materialize(find_base(rows), "base-spans")
+    holders = materialize(base.select("_key", F.explode("entities").alias("entity")).distinct(), "holders")
+    found = materialize(disclosing(rows, holders, threshold=threshold, support=support), "disclosing")
+    terms = found.groupBy("entity").agg(F.collect_list("term").alias("terms"))
+    marks = holders.join(terms, "entity").groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    marks = materialize(marks, "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases, spans = [], []
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                first = base_spans(text)
+                bases.append(_structs(first))
+                spans.append(_structs(sorted(first + term_spans(text, first, set(own)), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "base", "spans"])
+
+    # only rows of documents with terms are read again
+    marked = attach(rows, marks, "terms", "inner").select("doc_id", "text", "terms").mapInArrow(run, f"doc_id long, {_SPANS.format('base')}, {_SPANS.format('spans')}")
+    return anti(base, marks.select("_key"), "_key").select("doc_id", F.col("spans").alias("base"), "spans").unionByName(marked)
 
 
 def spans_text(column: str) -> F.Column:
@@ -179,17 +268,18 @@ def replace_spans(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[done:]
 
 
-def sanitise(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, reach: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with spans generalised in ``text_col``; rows without spans are as they were.
 
     The spans are joined only to the rows that have some; of rows that repeat an
     id, each takes the spans found for an equal text.
     """
     session(docs.sparkSession)
-    # spans are found under the hash of id and text, so rows that repeat both share them
+    # spans are known by the hash of id and text, so rows that repeat both share them
     mark, spans = fresh(docs, "_mark"), fresh(docs, "_spans")
-    marked = docs.withColumn(mark, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    found = find(marked.select(F.col(mark).alias("doc_id"), F.col(text_col).alias("text")), threshold=threshold, support=support, reach=reach).where("size(spans) > 0")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = _keyed(docs, id_col, text_col).withColumn("doc_id", F.xxhash64("doc_id", "text"))
+    found = _find(rows, threshold, support).where("size(spans) > 0")
     found = materialize(found.groupBy(F.col("doc_id").alias(mark)).agg(F.first("spans").alias(spans)), "spans")
     joined = marked.join(found, mark, "left")
     changed, same = joined.where(F.col(spans).isNotNull()), joined.where(F.col(spans).isNull())

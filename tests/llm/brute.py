@@ -194,3 +194,32 @@ def op10(docs: pd.DataFrame) -> pd.DataFrame:
         n = [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
         rows.append((d, *n, sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode())))
     return pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
+
+
+def op10_all(docs: pd.DataFrame, threshold: float = 0.9, support: int = 3) -> list[tuple]:
+    """``(doc_id, spans)`` of each row: base spans, and every word whose mutual information with one of the document's entities reaches the threshold."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    rows = [(d, t or "", pii_spans(t or "")) for d, t in zip(docs.doc_id, docs.text, strict=True)]
+    names = [{(k, t[a:b].lower() if k == "email" else re.sub("[^0-9]+", "." if k == "ip" else "", t[a:b])) for k, a, b in s} for _, t, s in rows]
+    having, holding = {}, {}
+    for (d, t, _), own in zip(rows, names, strict=True):
+        if not pd.isna(d):
+            for w in term.findall(t):
+                having.setdefault(w.lower(), set()).add(d)
+            for e in own:
+                holding.setdefault(e, set()).add(d)
+    n, told = len({d for d, _, _ in rows if not pd.isna(d)}), {}
+    for e, ds in holding.items():
+        for w, ws in having.items():
+            both = len(ds & ws)
+            if both >= support and (both == n or np.log(both * n / (len(ds) * len(ws))) / np.log(n / both) >= threshold):
+                told.setdefault(e, set()).add(w)
+    of = {}
+    for (d, _, _), own in zip(rows, names, strict=True):
+        of.setdefault(d, set()).update(own)
+    out = []
+    for (d, t, spans), own in zip(rows, names, strict=True):
+        marked = set().union(*(told.get(e, set()) for e in (own if pd.isna(d) else of[d])))
+        extra = [("term", m.start(), m.end()) for m in term.finditer(t) if m[0].lower() in marked and all(b <= m.start() or m.end() <= a for _, a, b in spans)]
+        out.append((None if pd.isna(d) else int(d), ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans + extra, key=lambda s: (s[1], ("email", "ip", "card", "phone", "term").index(s[0]))))))
+    return out

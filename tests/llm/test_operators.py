@@ -264,6 +264,22 @@ def test_disclosing_terms(spark):
     assert "[TERM]" in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()["text"]
 
 
+def test_disclosing_far_terms(spark):
+    """Terms count and are marked in whole documents, however far from the entity they stand."""
+    far = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"zanzibar {far} secret.agent@mi.example {far} Zanzibar {far} zanzibar") for i in range(3)]
+    rows += [(3, f"Secret.Agent@mi.example {far}"), (3, f"{far} zanzibar"), (None, f"zanzibar secret.agent@mi.example {far}"), (None, f"zanzibar {far}")]
+    rows += [(10 + i, f"{far} about report {i} host 10.0.0.{i % 9} {'kivu' if i % 9 == 4 else 'lake'} {far}") for i in range(90)] + [(5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(docs).select("doc_id", pii.spans_text("spans").alias("s")).collect()
+    want = brute.op10_all(pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert sum(s.count("term") for d, s in want if d in (0, 1, 2)) == 9 and any("term" in s for d, s in want if d == 14)
+    assert [s.count("term") for d, s in want if d == 3] == [0, 1] and sorted(s.count("term") for d, s in want if d is None) == [0, 1]
+    clean = pii.sanitise(docs).where("doc_id in (0, 1, 2)").collect()
+    assert len(clean) == 3 and all("zanzibar" not in r["text"].lower() and r["text"].count("[TERM]") == 3 for r in clean)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     """The queries that SQL can express, against it, on whole tables."""
