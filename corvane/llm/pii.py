@@ -10,8 +10,8 @@ disclosure threshold in at least ``support`` documents are marked wherever they
 stand in the entity's documents.  Sanitising generalises them as it does the
 base spans: each span gives way to a placeholder of its kind.
 
-A term is a word of at least three letters, lower-cased; words that touch a
-base span count, but are not marked again.  Null texts count as empty and have
+A term is a run of letters and digits, lower-cased; words that touch a base
+span count, but are not marked again.  Null texts count as empty and have
 no spans; rows that repeat an id count as one document in the statistics and
 each get their own spans; a null id takes part in no statistics, but its row is
 marked by its own entities; extra columns are kept by :func:`sanitise`; an
@@ -39,7 +39,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _KEY = "_key struct<none:boolean,at:long>"
 _SPANS = "{} array<struct<kind:string,start:long,end:long>>"

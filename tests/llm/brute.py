@@ -198,7 +198,7 @@ def op10(docs: pd.DataFrame) -> pd.DataFrame:
 
 def op10_all(docs: pd.DataFrame, threshold: float = 0.9, support: int = 3) -> list[tuple]:
     """``(doc_id, spans)`` of each row: base spans, and every word whose mutual information with one of the document's entities reaches the threshold."""
-    term = re.compile(r"[^\W\d_]{3,}")
+    term = re.compile(r"[^\W_]+")
     rows = [(d, t or "", pii_spans(t or "")) for d, t in zip(docs.doc_id, docs.text, strict=True)]
     names = [{(k, t[a:b].lower() if k == "email" else re.sub("[^0-9]+", "." if k == "ip" else "", t[a:b])) for k, a, b in s} for _, t, s in rows]
     having, holding = {}, {}

@@ -280,6 +280,15 @@ def test_disclosing_far_terms(spark):
     assert len(clean) == 3 and all("zanzibar" not in r["text"].lower() and r["text"].count("[TERM]") == 3 for r in clean)
 
 
+def test_disclosing_short_and_numbered_terms(spark):
+    """Identifiers with digits and names of one or two characters disclose as words do."""
+    rows = [(i, f"李明 and Bo of flat hold AB12x4, write to secret.agent@mi.example on day {i}") for i in range(3)] + [(10 + i, f"and of flat hold write to on day {i}") for i in range(60)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.spans_text("spans").alias("s")).collect()
+    want = brute.op10_all(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert [rows[0][1][a:b] for k, a, b in (x.split(":") for x in dict(want)[0].split(",")) if k == "term" for a, b in [(int(a), int(b))]] == ["李明", "Bo", "AB12x4"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     """The queries that SQL can express, against it, on whole tables."""
