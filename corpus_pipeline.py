@@ -52,7 +52,8 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL cannot express trained machines, sketches or merges; the tests hold the stages against plain versions.
+#: SQL cannot express trained machines, sketches or merges; the tests hold the stages' rows against plain versions
+#: (of the mixture the targets and the rows taken, not the choice itself).
 ORACLE_SQL = None
 
 

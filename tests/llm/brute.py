@@ -223,3 +223,22 @@ def op10_all(docs: pd.DataFrame, threshold: float = 0.9, support: int = 3) -> li
         extra = [("term", m.start(), m.end()) for m in term.finditer(t) if m[0].lower() in marked and all(b <= m.start() or m.end() <= a for _, a, b in spans)]
         out.append((None if pd.isna(d) else int(d), ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans + extra, key=lambda s: (s[1], ("email", "ip", "card", "phone", "term").index(s[0]))))))
     return out
+
+
+def sanitised(text: str, spans: str) -> str:
+    """``text`` with a placeholder for each stretch of overlapping ``kind:start:end``, by the first one's kind."""
+    owner, cut = [None] * len(text), [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
+    stretch, last = -1, -1
+    for k, a, b in cut:
+        stretch += a >= last
+        last = b if a >= last else max(last, b)
+        for i in range(a, b):
+            owner[i] = owner[i] or (stretch, k)
+    out, done = [], None
+    for c, o in zip(text, owner, strict=True):
+        if o is None:
+            out.append(c)
+        elif o[0] != done:
+            out.append(f"[{o[1].upper()}]")
+        done = None if o is None else o[0]
+    return "".join(out)

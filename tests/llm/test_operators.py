@@ -316,3 +316,40 @@ def test_pipeline(spark):
             assert sorted(r["doc_id"] for r in out.collect()) == sorted(want[want.kept].doc_id)
         docs = corpus_pipeline.materialize(out, name)
     assert docs.count() > 0
+
+
+def test_pipeline_rows(spark):
+    """Each stage's rows, but the mixture's choice, against a plain version; of the mixture, each source's rows and targets."""
+    import unicodedata
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    extra = [(10_000 + i, f"zanzibar {'lake ' * 12}secret.agent@mi.example {' '.join(f'w{i}x{k}' for k in range(40))} zanzibar", "en", "mail", 1) for i in range(4)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = corpus_pipeline.materialize(docs.unionByName(spark.createDataFrame(extra, docs.schema)), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = docs.toPandas(), corpus_pipeline.materialize(stage(spark, docs, sf), name)
+        if name == "language_id":
+            want = plain[[any(unicodedata.category(c)[0] == "L" for c in t or "") for t in plain.text]]
+            same(out, want)
+        elif name == "minhash_dedup":
+            want = brute.op3(plain)
+            same(out, plain[plain.doc_id.isin(want[want.kept].doc_id)])
+        elif name == "pii":
+            want = plain.assign(text=[t if t is None else brute.sanitised(t, s) for t, (_, s) in zip(plain.text, brute.op10_all(plain), strict=True)])
+            want["n_chars"] = [n if pd.isna(n) else len(t) for n, t in zip(want.n_chars, want.text, strict=True)]
+            same(out, want)
+            assert want[want.doc_id >= 10_000].text.str.count("TERM").min() >= 2
+        elif name == "mix_sources":
+            got, targets = mix.mix(docs).toPandas(), brute.targets(plain)
+            assert all(t == pytest.approx(targets[None if pd.isna(s) else s][1]) for s, t in zip(got.source, got.target, strict=True))
+            want = got.loc[got.index.repeat(got.repeats)][["doc_id"]].merge(plain, on="doc_id")
+            a, b = (x[list(plain.columns)].sort_values("doc_id").reset_index(drop=True) for x in (out.toPandas(), want))
+            pd.testing.assert_frame_equal(a, b, check_dtype=False)
+        else:
+            columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            got = out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.op1(plain)[columns].itertuples(index=False)))
+        docs = out
