@@ -117,11 +117,32 @@ def test_signature_estimates():
     assert abs((equal / 128 - 1 / 16) / (15 / 16) - 0.8) < 0.15 and len(ka) == len(kb) == 32
 
 
-def test_fine_estimate(spark):
-    a = minhash._mix(np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    row = (minhash.fine_bits(a[:900]).tolist(), minhash.fine_bits(a[100:]).tolist())
-    got = spark.createDataFrame([row], "x array<long>, y array<long>").select(minhash.estimate_fine("x", "y")).first()[0]
-    assert abs(got - 0.8) < minhash.FINE_SLACK
+def test_minhash_near_threshold_group(spark, monkeypatch):
+    """A large group of copies at similarities around the threshold: right links, and no table with a row for each pair."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(1200):
+        copy = list(base)
+        for _ in range(rng.choice((3, 3, 4, 4, 5))):
+            copy[rng.randrange(120)] = f"e{i}x{rng.randrange(1000)}"
+        rows.append((i, " ".join(copy)))
+    rows.append((5000, " ".join(base)))
+    sizes: dict[str, int] = {}
+    real = minhash.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(minhash, "TILE", 256)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got, brute.op3(pd.DataFrame(rows, columns=["doc_id", "text"])))
+    n = len(rows)
+    assert sizes["shared-bands"] <= 32 * n and sizes["candidates"] <= n and sizes["tile-links"] <= 32 * n
+    assert sizes["hopeful"] <= 32 * n * -(-n // minhash.TILE) and sizes["hopeful-sets"] <= n
 
 
 def test_components(spark):
