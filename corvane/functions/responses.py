@@ -53,12 +53,16 @@ def combine(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
     The mean of valid batch scores, half to even, clamped; null and an error
     text without one; quotes and raw texts in batch order; token sums, null if
-    no batch reported any.
+    no batch reported any.  An ``error`` of any batch, where there is such a
+    column, leaves no score.  One aggregation, so what ``parsed`` costs, such as
+    model calls, is paid once.
     """
     ordered = F.array_sort(F.collect_list(F.struct("batch_no", "raw", "quotes", "score")))
     usage = ("prompt_tokens", "completion_tokens", "total_tokens")
     reported = F.count(F.coalesce(*usage)) > 0
+    failed = F.max("error") if "error" in parsed.columns else F.lit(None).cast("string")
     rows = parsed.groupBy(*keys).agg(
+        failed.alias("_failed"),
         F.greatest(F.lit(SCORE_MIN), F.least(F.lit(SCORE_MAX), F.bround(F.avg("score"), 0).cast("int"))).alias("score"),
         ordered.alias("_rows"),
         *[F.when(reported, F.sum(F.coalesce(u, F.lit(0)))).cast("long").alias(u) for u in usage],
@@ -66,9 +70,9 @@ def combine(parsed: DataFrame, keys: list[str]) -> DataFrame:
     quotes = F.slice(F.flatten(F.transform(F.filter("_rows", lambda r: r["score"].isNotNull()), lambda r: F.coalesce(r["quotes"], F.array().cast("array<string>")))), 1, MAX_QUOTES)
     return rows.withColumns(
         {
-            "score": F.when(F.exists("_rows", lambda r: r["score"].isNotNull()), F.col("score")),
+            "score": F.when(F.col("_failed").isNull() & F.exists("_rows", lambda r: r["score"].isNotNull()), F.col("score")),
             "supporting_quotes": quotes,
             "raw_response": F.array_join(F.transform("_rows", lambda r: F.coalesce(r["raw"], F.lit(""))), "\n---\n"),
-            "error": F.when(~F.exists("_rows", lambda r: r["score"].isNotNull()), F.lit("No valid scores from any batch")),
+            "error": F.coalesce("_failed", F.when(~F.exists("_rows", lambda r: r["score"].isNotNull()), F.lit("No valid scores from any batch"))),
         }
-    ).drop("_rows")
+    ).drop("_rows", "_failed")

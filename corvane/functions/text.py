@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -27,12 +27,12 @@ BOILERPLATE = (
     r".*forward[- ]looking statement.*must be reviewed in conjunction with the risks.*",
 )
 
-# Openers of the question-and-answer part.
-QA_OPENERS = (
-    r"first\s+question\s+from\s+the\s+line\s+of",
-    r"we'?ll\s+take\s+our\s+first\s+question",
-    r"we\s+have\s+(?:our|a)\s+first\s+question",
-    r"first\s+question\s+is\s+from\s+the\s+line\s+of",
+# Fixed value: what opens the question-and-answer part, whatever its case.
+QA_OPENER = (
+    r"(?:first\s+question\s+from\s+the\s+line\s+of|"
+    r"we'?ll\s+take\s+our\s+first\s+question|"
+    r"we\s+have\s+(?:our|a)\s+first\s+question|"
+    r"first\s+question\s+is\s+from\s+the\s+line\s+of)"
 )
 
 # Phrases that avoid an answer, in the order that breaks ties.
@@ -52,6 +52,11 @@ DODGE_PHRASES = (
 SPEAKER_LINE = r"^\s*([A-Z][A-Za-z .'-]{2,40}):?\s*$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it: a column is substituted as text otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
@@ -76,9 +81,14 @@ def paragraphs(text: Column) -> Column:
 
 def speaker_turns(text: Column) -> Column:
     """``label:`` and its stripped body for each label; what stands before the first goes; no label: the text."""
-    marked = F.split(F.regexp_replace(text, f"(?dUm){SPEAKER_LINE}", "\u0001$1\u0002"), "\u0001")
-    turn = lambda t: F.concat(strip(F.split(t, "\u0002")[0]), F.lit(":\n"), strip(F.split(t, "\u0002")[1]))
-    return F.when(F.size(marked) <= 1, F.array(text)).otherwise(F.transform(F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(1))), turn))
+
+    def turn(marked: Column) -> Column:
+        return let(F.split(marked, "\u0002"), lambda t: F.concat(strip(t[0]), F.lit(":\n"), strip(t[1])))
+
+    def turns(marked: Column) -> Column:
+        return F.when(F.size(marked) <= 1, F.array(text)).otherwise(F.transform(F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(1))), turn))
+
+    return let(F.split(F.regexp_replace(text, f"(?dUm){SPEAKER_LINE}", "\u0001$1\u0002"), "\u0001"), turns)
 
 
 def sentences(text: Column) -> Column:
@@ -87,23 +97,30 @@ def sentences(text: Column) -> Column:
 
 
 def pack(units: Column, target: int) -> Column:
-    """Units to groups in order; a group that would pass ``target`` words is closed first; long units stay whole."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"), F.lit(0).alias("n"))
+    """Units to groups in order; a group that would pass ``target`` words is closed first; long units stay whole.
 
-    def add(state: Column, unit: Column) -> Column:
-        n = word_count(unit)
-        close = (state["n"] + n > target) & (F.size(state["open"]) > 0)
+    The units' words are counted once; the fold runs over these counts and keeps
+    only where groups start, so it is linear in the text.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("at"))
+
+    def add(state: Column, words: Column) -> Column:
+        close = (state["at"] == 0) | (state["held"] + words > target)
         return F.struct(
-            F.when(close, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(close, F.array(unit)).otherwise(F.concat(state["open"], F.array(unit))).alias("open"),
-            F.when(close, n).otherwise(state["n"] + n).alias("n"),
+            F.when(close, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"]).alias("starts"),
+            F.when(close, words).otherwise(state["held"] + words).alias("held"),
+            (state["at"] + 1).alias("at"),
         )
 
-    def finish(state: Column) -> Column:
-        return F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+    def cut(units: Column, starts: Column) -> Column:
+        ends = F.slice(F.concat(starts, F.array(F.size(units))), F.lit(2), F.greatest(F.size(starts), F.lit(1)))
+        return F.zip_with(starts, ends, lambda start, end: F.slice(units, start + 1, end - start))
+
+    def packed(units: Column) -> Column:
+        starts = F.aggregate(F.transform(units, word_count), zero, add, lambda state: state["starts"])
+        return F.when(F.size(units) > 0, let(starts, lambda s: cut(units, s))).otherwise(F.array().cast("array<array<string>>"))
 
-    return F.aggregate(units, start, add, finish)
+    return let(units, packed)
 
 
 def joined(groups: Column, by: str = " ") -> Column:
@@ -116,22 +133,25 @@ def chunks(text: Column, target: int = CHUNK_WORDS) -> Column:
     Paragraphs are the units; a single paragraph of over twice the target falls
     back to speaker turns, and a unit of over 1.5 times it to packed sentences.
     """
-    parts = paragraphs(text)
-    units = F.when((F.size(parts) == 1) & (word_count(parts[0]) > 2 * target), speaker_turns(text)).otherwise(parts)
-    fine = F.flatten(F.transform(units, lambda u: F.when(word_count(u) > 1.5 * target, joined(pack(sentences(u), target))).otherwise(F.array(u))))
-    return joined(pack(fine, target))
+
+    def units(text: Column, parts: Column) -> Column:
+        return F.when((F.size(parts) == 1) & (word_count(parts[0]) > 2 * target), speaker_turns(text)).otherwise(parts)
+
+    def fine(unit: Column) -> Column:
+        return F.when(word_count(unit) > 1.5 * target, joined(pack(sentences(unit), target))).otherwise(F.array(unit))
+
+    return let(text, lambda t: joined(pack(F.flatten(F.transform(let(paragraphs(t), lambda parts: units(t, parts)), fine)), target)))
 
 
 def batches(chunk_list: Column, target: int) -> Column:
     """Chunks to request batches; no chunk gives one empty batch."""
     one = F.array(F.array().cast("array<string>"))
-    return F.when(F.size(chunk_list) > 0, pack(chunk_list, target)).otherwise(one)
+    return let(chunk_list, lambda c: F.when(F.size(c) > 0, pack(c, target)).otherwise(one))
 
 
 def qa_start(chunk_list: Column) -> Column:
     """The first chunk (from 0) with an opener of the question-and-answer part, or -1."""
-    opener = "(?idU)(?:" + "|".join(QA_OPENERS) + ")"
-    return (F.array_position(F.transform(chunk_list, lambda c: c.rlike(opener)), True) - 1).cast("int")
+    return (F.array_position(F.transform(chunk_list, lambda c: c.rlike(f"(?idU){QA_OPENER}")), True) - 1).cast("int")
 
 
 def qa_chunks(chunk_list: Column) -> Column:

@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.functions import responses, text as X
+from corvane.operators import store
 from corvane.session import ship
-from corvane.sources.schemas import BACKOFF_CAP, BATCH_WORDS, DIMENSIONS, FIRST_BACKOFF, RETRIES
+from corvane.sources.schemas import BACKOFF_CAP, BATCH_WORDS, DIMENSIONS, FIRST_BACKOFF, RETRIES, SCORES, TRANSCRIPTS
 
 #: A scorer takes (system prompt, user prompt, model) and returns the raw response and three token counts, or only the response.
 Scorer = Callable[[str, str, str], "str | tuple[str, int | None, int | None, int | None]"]
@@ -58,15 +59,30 @@ def keyword_result(transcripts: DataFrame, phrases: Sequence[str] = X.DODGE_PHRA
     return transcripts.withColumn("frequency", frequency).withColumn("total_count", F.aggregate("frequency", F.lit(0), lambda a, f: a + f["n"]))
 
 
+def top_phrases(chunks: DataFrame, phrases: Sequence[str] = X.DODGE_PHRASES, text_col: str = "chunk_text", *, n: int = 10) -> DataFrame:
+    """The ``n`` most frequent phrases that occur at all, of :func:`phrase_counts`."""
+    return phrase_counts(chunks, phrases, text_col).where("hits > 0").orderBy(F.desc("hits"), "pos").limit(n)
+
+
+def first_excerpts(hits: DataFrame, keys: Sequence[str], *, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of :func:`phrase_hits` for each of ``keys``, by chunk, phrase and place: what a report quotes."""
+    places = [c for c in ("chunk_index", "pos", "hit_no") if c in hits.columns]
+    first = Window.partitionBy(*keys).orderBy(*places)
+    return hits.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
+
+
 def requests(assembled: DataFrame, dimensions: Sequence[str] = DIMENSIONS, target: int = BATCH_WORDS) -> DataFrame:
     """``transcript_id, dimension, batch_no, prompt``: a row for each model call.
 
-    Evasiveness sees the question part only; a transcript without one makes no call for it.
+    Evasiveness sees the question part only; a transcript without one makes no
+    call for it, which is a row without a prompt.
     """
     each = assembled.select("transcript_id", "chunks", F.explode(F.array(*map(F.lit, dimensions))).alias("dimension"))
+    asked = (F.col("dimension") != "evasiveness") | (X.qa_start(F.col("chunks")) >= 0)
     own = F.when(F.col("dimension") == "evasiveness", X.qa_chunks(F.col("chunks"))).otherwise(F.col("chunks"))
-    wanted = each.where((F.col("dimension") != "evasiveness") | (X.qa_start(F.col("chunks")) >= 0))
-    return wanted.select("transcript_id", "dimension", F.posexplode(X.batches(own, target)).alias("batch_no", "batch")).withColumn("prompt", X.prompt(F.lit("Score the following call."), F.col("batch"))).drop("batch")
+    batches = each.withColumn("asked", asked).select("transcript_id", "dimension", "asked", F.posexplode(X.batches(own, target)).alias("batch_no", "batch"))
+    text = X.prompt(F.lit("Score the following call."), F.col("batch"))
+    return batches.select("transcript_id", "dimension", "batch_no", F.when(F.col("asked"), text).alias("prompt"))
 
 
 def call_with_retry(scorer: Scorer, system: str, user: str, model: str, *, sleep: Callable[[float], None] = time.sleep):
@@ -86,18 +102,32 @@ def call_with_retry(scorer: Scorer, system: str, user: str, model: str, *, sleep
 CALLED = "transcript_id long, dimension string, batch_no int, raw string, prompt_tokens long, completion_tokens long, total_tokens long, error string, latency double"
 
 
-def call_model(calls: DataFrame, scorers: Mapping[str, Scorer] | Scorer, model: str = "offline") -> DataFrame:
-    """The responses to ``calls``; an exhausted or failed call becomes a row with ``error`` rather than failing the job."""
+NO_QUESTIONS, NOT_CONFIGURED = "No Q&A section found", "LLM not configured"
+
+
+def call_model(calls: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, model: str = "offline") -> DataFrame:
+    """The responses to ``calls``; what brings none is a row with ``error`` rather than a failed job.
+
+    That is a failed or exhausted call, a row without a prompt, which makes no
+    call, and every row where no scorer is configured (``None``, or a mapping
+    without the dimension).
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                scorer, began = scorers if callable(scorers) else scorers[r.dimension], time.time()
-                try:
-                    got, error = call_with_retry(scorer, system_prompt(r.dimension), r.prompt, model), None
-                except Exception as e:  # the error is the result
-                    got, error = (None, None, None, None), str(e)
+                scorer, began = scorers if scorers is None or callable(scorers) else scorers.get(r.dimension), time.time()
+                got, error = (None, None, None, None), None
+                if r.prompt is None:
+                    error = NO_QUESTIONS
+                elif scorer is None:
+                    error = NOT_CONFIGURED
+                else:
+                    try:
+                        got = call_with_retry(scorer, system_prompt(r.dimension), r.prompt, model)
+                    except Exception as e:  # the error is the result
+                        error = str(e)
                 raw, *usage = got if isinstance(got, tuple) else (got, None, None, None)
                 out.append((r.transcript_id, r.dimension, r.batch_no, raw, *usage, error, time.time() - began))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLED.split(", ")])
@@ -106,16 +136,47 @@ def call_model(calls: DataFrame, scorers: Mapping[str, Scorer] | Scorer, model:
     return calls.select("transcript_id", "dimension", "batch_no", "prompt").mapInPandas(run, CALLED)
 
 
-def score(assembled: DataFrame, scorers: Mapping[str, Scorer] | Scorer, *, model: str = "offline", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """Every transcript on every dimension; a failed call leaves its dimension without a score.  ``model`` reaches the scorer."""
+def score(assembled: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", dimensions: Sequence[str] = DIMENSIONS, phrases: Sequence[str] = X.DODGE_PHRASES) -> DataFrame:
+    """A row for every transcript and dimension; a failed call leaves its dimension without a score.
+
+    Every request is sent once.  ``model`` reaches the scorer.  ``total_count`` is
+    the question part's phrase count beside evasiveness: 0 without such a part.
+    """
     called = call_model(requests(assembled, dimensions), scorers, model)
     parsed = called.withColumn("p", responses.parse(F.col("raw"), F.concat("dimension", F.lit("_score")))).select("*", "p.score", "p.quotes").drop("p")
     done = responses.combine(parsed, ["transcript_id", "dimension"])
-    failed = parsed.groupBy("transcript_id", "dimension").agg(F.max("error").alias("_failed"))
-    done = done.join(failed, ["transcript_id", "dimension"]).withColumns({"score": F.when(F.col("_failed").isNull(), F.col("score")), "error": F.coalesce("_failed", "error")}).drop("_failed")
+    counts = keyword_result(assembled, phrases).select("transcript_id", "total_count")
+    done = done.join(counts, "transcript_id", "left").withColumn("total_count", F.when(F.col("dimension") == "evasiveness", F.col("total_count")))
     return done.withColumns({"model_name": F.lit(model), "prompt_version": F.concat("dimension", F.lit("-v1"))})
 
 
+def score_and_store(spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", company: str | None = None, year: int | None = None, skip_existing: bool = False) -> DataFrame:
+    """Score the stored transcripts and keep what comes back; returns the run's results.
+
+    Scores that are there are upserted, and every dimension that was asked for
+    leaves its raw response as an audit row.  The results are written once, so
+    storing them calls no model again.
+    """
+    transcripts = store.restrict(store.table(spark, paths.transcripts, TRANSCRIPTS), company, None, year)
+    assembled = store.assemble(transcripts)
+    if skip_existing:
+        done = store.fully_scored(store.table(spark, paths.scores, SCORES), transcripts)
+        assembled = assembled.join(done.select(*store.KEY), list(store.KEY), "left_anti")
+    results = store.stage(score(assembled, scorers, model=model), paths.scores)
+    stamped = results.withColumn("scored_at", F.current_timestamp()).withColumn("raw_llm_response", F.coalesce("raw_response", F.lit("")))
+    store.upsert_scores(spark, paths.scores, stamped.where("score is not null"))
+    store.append_runs(paths.runs, stamped.where(~F.col("error").isin(NO_QUESTIONS, NOT_CONFIGURED) | F.col("error").isNull()))
+    return results
+
+
+def validate(spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", company: str | None = None, quarter: str | None = None, year: int | None = None) -> DataFrame:
+    """All dimensions of the first transcript that fits; nothing is stored."""
+    transcripts = store.table(spark, paths.transcripts, TRANSCRIPTS)
+    one = store.sample_transcript(transcripts, company, quarter, year)
+    assembled = store.assemble(transcripts.join(F.broadcast(one), list(store.KEY), "left_semi"))  # one row
+    return score(assembled, scorers, model=model).join(F.broadcast(assembled.select("transcript_id", *store.KEY)), "transcript_id")
+
+
 def dry_run(assembled: DataFrame, n_dimensions: int = len(DIMENSIONS)) -> DataFrame:
     """What a run would do: each transcript's id, chunks and calls (one for each dimension)."""
     return assembled.select("company", "quarter", "year", "transcript_id", F.size("chunks").alias("n_chunks"), F.lit(n_dimensions).alias("n_calls"))

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from corvane.functions.text import word_count
 from corvane.sources.schemas import DIMENSIONS, SCORES, SCORING_RUNS, TRANSCRIPTS
 
 KEY = ("company", "quarter", "year")
+#: Folders that the table of scores is dealt to.
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Where the store's three tables are."""
+
+    transcripts: str
+    scores: str
+    runs: str
+
+    @classmethod
+    def under(cls, folder: str) -> Paths:
+        return cls(*(f"{folder.rstrip('/')}/{name}" for name in ("transcripts", "scores", "scoring_runs")))
 
 
 def table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -74,21 +91,37 @@ def latest_writes(writes: DataFrame, keys: tuple[str, ...] = ("transcript_id", "
     return writes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def _swap(frame: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: written aside first, then renamed, so a failed write leaves the old one."""
-    spark = frame.sparkSession
-    frame.write.mode("overwrite").parquet(f"{path}.next")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(f"{path}.next"), hadoop(path))
+def stage(frame: DataFrame, beside: str) -> DataFrame:
+    """``frame`` written once in a folder of its own beside a table, and read again: what it costs is paid once."""
+    path = f"{beside.rstrip('/')}.staged/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete what :func:`stage` wrote, once nothing reads it any more."""
+    for file in staged.inputFiles()[:1]:
+        at = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        at.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def upsert_scores(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Rows of ``new`` replace those with the same transcript and dimension."""
-    columns = SCORES.fieldNames()
-    both = table(spark, path, SCORES).select(*columns, F.lit(0).alias("write_seq")).unionByName(new.select(*columns, F.lit(1).alias("write_seq")))
-    _swap(latest_writes(both, order=("write_seq", "scored_at")).select(*columns), path)
+    """Rows of ``new`` replace those with the same transcript and dimension.
+
+    The table is dealt to ``BUCKETS`` folders by transcript; only those that
+    ``new`` touches are read and written, each replaced when all are written.
+    """
+    columns, bucket = SCORES.fieldNames(), F.pmod(F.xxhash64("transcript_id"), F.lit(BUCKETS)).cast("int")
+    staged = stage(new.select(*columns), path)
+    fresh = staged.withColumn("bucket", bucket)
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return unstage(staged)
+    old = table(spark, path, T.StructType([*SCORES.fields, T.StructField("bucket", T.IntegerType())]))
+    both = old.where(F.col("bucket").isin(touched)).withColumn("write_seq", F.lit(0)).unionByName(fresh.withColumn("write_seq", F.lit(1)))
+    latest = latest_writes(both, order=("write_seq", "scored_at")).drop("write_seq")
+    latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    unstage(staged)
 
 
 def append_runs(path: str, runs: DataFrame) -> None:
@@ -104,16 +137,29 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
     ).select(TRANSCRIPTS.fieldNames())
 
 
-def replace_transcripts(spark: SparkSession, path: str, documents: DataFrame) -> None:
-    """Replace the partitions of all transcripts in ``documents``; one without chunks clears its partition."""
+def replace_transcripts(spark: SparkSession, path: str, documents: DataFrame) -> dict[str, int]:
+    """Replace the partitions of all transcripts in ``documents``; one without chunks clears its partition.
+
+    ``documents``, whose texts may come from extraction, are computed once.
+    Returns the run's totals: documents, chunks and words.
+    """
     parts = ("company", "year", "quarter")
+    documents = stage(documents.select(*KEY, "source_file", "chunks"), path)
     rows = chunk_rows(documents)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # a partition is one transcript, so none is large
+    rows.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     empty = documents.where(F.size("chunks") <= 0).select(*parts).distinct()
-    old = table(spark, path, TRANSCRIPTS)
-    rows.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
-    if not empty.isEmpty() and old.columns:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        for r in empty.toLocalIterator():  # partition names only, one at a time
-            fs.delete(hadoop(f"{path}/company={r['company']}/year={r['year']}/quarter={r['quarter']}"), True)
+    for r in empty.toLocalIterator():  # partition names only, one at a time
+        fs.delete(hadoop(f"{path}/company={r['company']}/year={r['year']}/quarter={r['quarter']}"), True)
+    totals = ingest_totals(documents)
+    unstage(documents)
+    return totals
+
+
+def ingest_totals(documents: DataFrame) -> dict[str, int]:
+    """How many documents, chunks and words there are."""
+    words = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + word_count(c))
+    one = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"), F.coalesce(F.sum(words), F.lit(0)).alias("words"))
+    return one.first().asDict()

@@ -18,6 +18,11 @@ def period() -> Column:
     return F.concat_ws(" ", F.col("year").cast("string"), F.col("quarter"))
 
 
+def chronological(frame: DataFrame) -> DataFrame:
+    """Sorted by period across companies, as the reports list it."""
+    return frame.orderBy(period_key(), "company")
+
+
 def pivot_scores(scores: DataFrame, order: str = "transcript_id", dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Long scores to one row for each company, year and quarter; a dimension never scored is a null column."""
     return scores.groupBy("company", "year", "quarter").pivot("dimension", list(dimensions)).agg(F.min_by("score", order))
@@ -50,13 +55,13 @@ def trend_labels(wide: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> Dat
 
 
 def biggest_worsening(wide: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """For each company and dimension the greatest rise of the score, the earliest of equals, with the row before."""
+    """For each company and dimension the greatest rise of the score, the earliest of equals, with the row before; worst first."""
     stacked = wide.select("company", "year", "quarter", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score")) for d in dimensions if d in wide.columns])).alias("s")).select("company", "year", "quarter", "s.*")
     w = Window.partitionBy("company", "dimension").orderBy(period_key())
     moved = stacked.withColumns({"prev_quarter": F.lag("quarter").over(w), "prev_year": F.lag("year").over(w), "prev_score": F.lag("score").over(w)})
     moved = moved.withColumn("delta", (F.col("score") - F.col("prev_score")).cast("double")).where("delta > 0")
     first = Window.partitionBy("company", "dimension").orderBy(F.desc("delta"), period_key())
-    top = moved.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    top = moved.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").orderBy(F.desc("delta"), "company", "dimension")
     return top.select("company", "year", "quarter", "score", "delta", "dimension", "prev_quarter", "prev_year", "prev_score")
 
 

@@ -39,7 +39,8 @@ _LONG = f"""long AS (
                {_DIMS}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS dimension, CAST(1 + count(*) % 10 AS INTEGER) AS score
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
 _WIDE = f"{_LONG}, wide AS (SELECT company, year, quarter, " + ", ".join(f"max(score) FILTER (dimension = '{d}') AS {d}" for d in DIMENSIONS) + " FROM long GROUP BY ALL)"
-_STORED = f"{_LONG}, stored AS (SELECT DISTINCT transcript_id AS id, company, quarter, year FROM long WHERE transcript_id % 7 <> 0)"
+_STORED = f"{_LONG}, stored AS (SELECT DISTINCT transcript_id AS id, company, quarter, year FROM long)"
+_REPLACED = f"{_LONG}, stored AS (SELECT DISTINCT CASE WHEN transcript_id % 7 = 0 THEN -transcript_id ELSE transcript_id END AS id, company, quarter, year FROM long)"
 _W = "(PARTITION BY company ORDER BY year, quarter)"
 _DELTA = f"{_WIDE}, delta AS (SELECT *, " + ", ".join(f"CAST({d} - lag({d}) OVER {_W} AS DOUBLE) AS {d}_delta" for d in DIMENSIONS) + " FROM wide)"
 _TREND = f"{_DELTA}, trend AS (SELECT *, " + ", ".join(f"CASE WHEN {d}_delta <= -1.5 THEN 'IMPROVING' WHEN {d}_delta >= 1.5 THEN 'DETERIORATING' ELSE 'STABLE' END AS {d}_trend" for d in DIMENSIONS) + " FROM delta)"
@@ -56,7 +57,7 @@ def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DELTA} SELECT * FROM delta")
 def quarter_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.change(rel.scores_wide(spark, sf_dir))
+    return trends.chronological(trends.change(rel.scores_wide(spark, sf_dir)))
 
 
 _MA = ", ".join(f"CASE WHEN count({d}) OVER w = 3 THEN round(avg({d}) OVER w, 6) END AS {d}_ma3" for d in DIMENSIONS)
@@ -64,16 +65,16 @@ _MA = ", ".join(f"CASE WHEN count({d}) OVER w = 3 THEN round(avg({d}) OVER w, 6)
 
 @query(f"WITH {_WIDE} SELECT company, year, quarter, {_MA} FROM wide WINDOW w AS (PARTITION BY company ORDER BY year, quarter ROWS 2 PRECEDING)")
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trends.moving_average(rel.scores_wide(spark, sf_dir))
+    found = trends.chronological(trends.moving_average(rel.scores_wide(spark, sf_dir)))
     return found.select("company", "year", "quarter", *[F.round(f"{d}_ma3", 6).alias(f"{d}_ma3") for d in DIMENSIONS])
 
 
 @query(f"WITH {_TREND} SELECT * FROM trend")
 def trend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.trend_labels(rel.scores_wide(spark, sf_dir))
+    return trends.chronological(trends.trend_labels(rel.scores_wide(spark, sf_dir)))
 
 
-@query(f"WITH {_STACK} SELECT * FROM worst")
+@query(f"WITH {_STACK} SELECT * FROM worst ORDER BY delta DESC, company, dimension")
 def biggest_worsening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.biggest_worsening(rel.scores_wide(spark, sf_dir))
 
@@ -169,12 +170,12 @@ def upsert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_STORED} SELECT 'orphan scores' AS "check", count(*) AS bad FROM long WHERE transcript_id NOT IN (SELECT id FROM stored)
+    f"""WITH {_REPLACED} SELECT 'orphan scores' AS "check", count(*) AS bad FROM long WHERE transcript_id NOT IN (SELECT id FROM stored)
     UNION ALL SELECT 'duplicate scores', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM long GROUP BY transcript_id, dimension)
     UNION ALL SELECT 'scores out of range', count(*) FILTER (score NOT BETWEEN 1 AND 10) FROM long"""
 )
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.quality(_scores(spark, sf_dir), rel.transcripts(spark, sf_dir))
+    return reports.quality(_scores(spark, sf_dir), rel.replaced_transcripts(spark, sf_dir))
 
 
 @query("SELECT conv_id AS transcript_id, string_agg(text, '|' ORDER BY turn) AS joined, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
@@ -194,21 +195,31 @@ _DIRTY = "'Page 3 of 9' || chr(10) || text || '[PAGE_BREAK]  12 ' || chr(10) ||
 _BOILER = r"(?i)^(?:Page\s+\d+\s+of\s+\d+|\s*Confidential\s*$|\s*Disclaimer.*$|\s*Transcript\s+generated\s+by.*$|\s*www\..*$|\s*\d{1,3}\s*$|\s*\|\s*\d{1,3}\s*$|.*edited for readability.*)"
 
 
-@query(
-    rf"""SELECT doc_id, regexp_replace(array_to_string(list_filter(list_transform(string_split(replace({_DIRTY}, '[PAGE_BREAK]', chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
-    lambda x: x <> '' AND NOT regexp_matches(x, '{_BOILER}')), chr(10)), '[ \t]{{2,}}', ' ', 'g') AS cleaned FROM documents"""
-)
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+def _cleaned(text: str) -> str:
+    return rf"""regexp_replace(array_to_string(list_filter(list_transform(string_split(replace({text}, '[PAGE_BREAK]', chr(10)), chr(10)), lambda x: {_strip("x")}),
+    lambda x: x <> '' AND NOT regexp_matches(x, '{_BOILER}')), chr(10)), '[ \t]{{2,}}', ' ', 'g')"""
+
+
+@query(f"SELECT doc_id, {_cleaned(_DIRTY)} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.concat(F.lit("Page 3 of 9\n"), F.col("text"), F.lit("[PAGE_BREAK]  12 \n| 7\nCONFIDENTIAL \n This transcript was edited for readability\nKept   line "))
     return rel.documents(spark, sf_dir).select("doc_id", X.clean(dirty).alias("cleaned"))
 
 
-_SENT = r"string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+def _sentences(text: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
 
+_SENT = _sentences("text")
 
-@query(f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS n_sentences, {_SENT}[1] AS first_sentence FROM documents")
+
+@query(f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS n_sentences, array_to_string({_SENT}, '|') AS sentences FROM documents")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.documents(spark, sf_dir).select("doc_id", X.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.col("s")[0].alias("first_sentence"))
+    return rel.documents(spark, sf_dir).select("doc_id", X.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.array_join("s", "|").alias("sentences"))
 
 
 @query(
@@ -225,25 +236,50 @@ def pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("words", X.word_count(F.col("chunk_text")))
 
 
-@query()
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of the chunker: paragraphs, speaker turns, sentences, packing (tested against a plain version)."""
-    rows = rel.documents(spark, sf_dir).select("doc_id", F.posexplode(X.chunks(X.clean(F.col("text")), PACK_WORDS)).alias("chunk_index", "chunk_text"))
-    return rows.withColumn("words", X.word_count(F.col("chunk_text")))
+_LABEL = r"(?m)^\s*([A-Z][A-Za-z .''-]{2,40}):?\s*$"
 
 
-_LABEL = r"(?m)^\s*([A-Z][A-Za-z .''-]{2,40}):?\s*$"
+def _turns(text: str) -> str:
+    """The text's turns as a list; one without a label is the text."""
+    marked = rf"string_split(regexp_replace({text}, '{_LABEL}', chr(1) || '\1' || chr(2), 'g'), chr(1))"
+    turn = f"{_strip('string_split(x, chr(2))[1]')} || ':' || chr(10) || {_strip('string_split(x, chr(2))[2]')}"
+    return f"CASE WHEN len({marked}) > 1 THEN list_transform(({marked})[2:], lambda x: {turn}) ELSE [{text}] END"
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_turns, array_to_string(t, '|') AS turns FROM (SELECT doc_id, {_turns('text')} AS t FROM documents)")
+def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text's speaker turns."""
+    found = rel.documents(spark, sf_dir).select("doc_id", X.speaker_turns(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").alias("n_turns"), F.array_join("t", "|").alias("turns"))
+
+
+def _packed(rows: str, keys: str, name: str) -> str:
+    """Recursive SQL: ``{name}`` numbers the groups (``g``, from 0) of ``rows``' units (``keys``, n from 1, unit, w), packed in order."""
+    same = " AND ".join(f"s.{k} = r.{k}" for k in keys.split(", "))
+    each = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""{name} AS (SELECT {keys}, n, unit, w, w AS held, 0 AS g FROM {rows} WHERE n = 1
+      UNION ALL SELECT {each}, s.n, s.unit, s.w, CASE WHEN r.held + s.w > {PACK_WORDS} THEN s.w ELSE r.held + s.w END, CASE WHEN r.held + s.w > {PACK_WORDS} THEN r.g + 1 ELSE r.g END
+      FROM {name} r JOIN {rows} s ON {same} AND s.n = r.n + 1)"""
+
+
+_WORDS = r"len(regexp_extract_all({}, '\S+'))".format
 
 
 @query(
-    rf"""SELECT doc_id, CAST(greatest(len(t) - 1, 1) AS INTEGER) AS n_turns, CASE WHEN len(t) > 1 THEN regexp_replace(string_split(t[2], chr(2))[1], '^\s+|\s+$', '', 'g') || ':' END AS first_label
-    FROM (SELECT doc_id, string_split(regexp_replace(text, '{_LABEL}', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS t FROM documents)"""
+    f"""WITH RECURSIVE cleaned AS (SELECT doc_id, {_strip(_cleaned("text"))} AS t FROM documents WHERE text IS NOT NULL),
+    parts AS (SELECT doc_id, CASE WHEN {_WORDS("t")} > {2 * PACK_WORDS} THEN {_turns("t")} ELSE [t] END AS u FROM cleaned WHERE t <> ''),
+    units AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS i FROM parts),
+    split AS (SELECT doc_id, i, unnest({_sentences("unit")}) AS unit, generate_subscripts({_sentences("unit")}, 1) AS n FROM units WHERE {_WORDS("unit")} > {1.5 * PACK_WORDS}),
+    sized AS (SELECT *, {_WORDS("unit")} AS w FROM split), {_packed("sized", "doc_id, i", "inner_run")},
+    fine AS (SELECT doc_id, i, 0 AS g, unit FROM units WHERE {_WORDS("unit")} <= {1.5 * PACK_WORDS}
+      UNION ALL SELECT doc_id, i, g, string_agg(unit, ' ' ORDER BY n) FROM inner_run GROUP BY doc_id, i, g),
+    listed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, g) AS n, unit, {_WORDS("unit")} AS w FROM fine), {_packed("listed", "doc_id", "outer_run")}
+    SELECT doc_id, CAST(g AS INTEGER) AS chunk_index, string_agg(unit, ' ' ORDER BY n) AS chunk_text, CAST(sum(w) AS INTEGER) AS words FROM outer_run GROUP BY doc_id, g"""
 )
-def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many speaker turns a text has, and the first one's label."""
-    turns = rel.documents(spark, sf_dir).select("doc_id", X.speaker_turns(F.col("text")).alias("t"), F.col("text"))
-    label = F.when(F.col("t")[0] != F.col("text"), F.split(F.col("t")[0], "\n")[0])
-    return turns.select("doc_id", F.size("t").alias("n_turns"), label.alias("first_label"))
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of the chunker: paragraphs, speaker turns, sentences, packing."""
+    rows = rel.documents(spark, sf_dir).select("doc_id", F.posexplode(X.chunks(X.clean(F.col("text")), PACK_WORDS)).alias("chunk_index", "chunk_text"))
+    return rows.withColumn("words", X.word_count(F.col("chunk_text")))
 
 
 _CALLS = """calls AS (SELECT conv_id AS transcript_id, list(CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'We''ll take our FIRST question now. ' || text ELSE text END ORDER BY turn) AS chunks FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)"""
@@ -266,23 +302,45 @@ def phrase_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH parts AS (SELECT doc_id, text, pos, phrase, list_transform(string_split(lower(text), phrase), lambda x: length(x)) AS lens FROM documents, {_LIST} WHERE pos <= 4),
+    f"""WITH parts AS (SELECT doc_id, text, pos, phrase, list_transform(string_split(lower(text), phrase), lambda x: length(x)) AS lens FROM documents, {_LIST}),
     hits AS (SELECT *, unnest(range(1, len(lens))) AS k FROM parts),
     starts AS (SELECT doc_id, text, pos, phrase, k - 1 AS hit_no, CAST(list_sum(lens[1:k]) + (k - 1) * length(phrase) AS BIGINT) AS s FROM hits)
     SELECT doc_id, CAST(pos AS INTEGER) AS pos, phrase, CAST(hit_no AS INTEGER) AS hit_no,
       regexp_replace(replace(substr(text, greatest(s - 40, 0) + 1, least(s + length(phrase) + 40, length(text)) - greatest(s - 40, 0)), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS context FROM starts"""
 )
 def phrase_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.phrase_hits(rel.documents(spark, sf_dir), PHRASES[:4], "text")
+    return scoring.phrase_hits(rel.documents(spark, sf_dir), PHRASES, "text")
+
+
+_HITS = f"""WITH {_QA}, joined AS (SELECT transcript_id, CASE WHEN qa_start >= 0 THEN array_to_string(chunks[qa_start + 1:], chr(0)) ELSE '' END AS t FROM qa),
+    hits AS (SELECT transcript_id, pos, phrase, len(regexp_extract_all(t, '(?i)' || phrase)) AS n FROM joined, {_LIST})"""
+
+
+@query(f"{_HITS} SELECT transcript_id, CAST(sum(n) AS INTEGER) AS total_count, coalesce(string_agg(phrase || ' ' || n, ', ' ORDER BY n DESC, pos) FILTER (n > 0), '') AS frequency FROM hits GROUP BY transcript_id")
+def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.keyword_result(rel.calls(spark, sf_dir), PHRASES)
+    frequency = F.array_join(F.transform("frequency", lambda f: F.concat_ws(" ", f["phrase"], f["n"].cast("string"))), ", ")
+    return found.select("transcript_id", "total_count", frequency.alias("frequency"))
+
+
+@query(f"SELECT pos, phrase, CAST(sum(len(regexp_extract_all(text, '(?i)' || phrase))) AS BIGINT) AS hits FROM {_LIST}, documents GROUP BY ALL HAVING hits > 0 ORDER BY hits DESC, pos LIMIT 3")
+def most_frequent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's most frequent phrases, three of the five listed."""
+    return scoring.top_phrases(rel.documents(spark, sf_dir), PHRASES, "text", n=3)
 
 
 @query(
-    f"""WITH {_QA}, joined AS (SELECT transcript_id, array_to_string(chunks[qa_start + 1:], chr(0)) AS t FROM qa WHERE qa_start >= 0)
-    SELECT transcript_id, CAST(coalesce((SELECT sum(len(regexp_extract_all(t, '(?i)' || phrase))) FROM {_LIST}), 0) AS INTEGER) AS total_count FROM joined
-    UNION ALL SELECT transcript_id, 0 FROM qa WHERE qa_start < 0"""
+    f"""WITH parts AS (SELECT conv_id, turn, text, pos, phrase, list_transform(string_split(lower(text), phrase), lambda x: length(x)) AS lens FROM conversations, {_LIST} WHERE text IS NOT NULL),
+    hits AS (SELECT *, unnest(range(1, len(lens))) AS k FROM parts),
+    starts AS (SELECT conv_id, turn, text, pos, phrase, k - 1 AS hit_no, CAST(list_sum(lens[1:k]) + (k - 1) * length(phrase) AS BIGINT) AS s FROM hits
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos, k) <= 5)
+    SELECT conv_id AS transcript_id, turn AS chunk_index, CAST(pos AS INTEGER) AS pos, phrase, CAST(hit_no AS INTEGER) AS hit_no,
+      regexp_replace(replace(substr(text, greatest(s - 40, 0) + 1, least(s + length(phrase) + 40, length(text)) - greatest(s - 40, 0)), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS context FROM starts"""
 )
-def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.keyword_result(rel.calls(spark, sf_dir), PHRASES).select("transcript_id", "total_count")
+def phrase_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five excerpts of each call."""
+    hits = scoring.phrase_hits(rel.conversations(spark, sf_dir).where("chunk_text is not null").drop("role"), PHRASES)
+    return scoring.first_excerpts(hits, ["transcript_id"])
 
 
 @query(
@@ -375,11 +433,12 @@ def offline_scorer(system: str, prompt: str, model: str) -> str:
 
 @query(
     f"""WITH {_QA}, parts AS (SELECT transcript_id, dimension, CASE WHEN dimension = 'evasiveness' THEN chunks[qa_start + 1:] ELSE chunks END AS c FROM qa, (SELECT unnest({_DIMS}) AS dimension) WHERE dimension <> 'evasiveness' OR qa_start >= 0)
-    SELECT transcript_id, dimension, CAST(1 + (length('Score the following call.') + 9 + length(array_to_string(c, chr(10) || chr(10)))) % 10 AS INTEGER) AS score FROM parts"""
+    SELECT transcript_id, dimension, CAST(1 + (length('Score the following call.') + 9 + length(array_to_string(c, chr(10) || chr(10)))) % 10 AS INTEGER) AS score, CAST(NULL AS VARCHAR) AS error FROM parts
+    UNION ALL SELECT transcript_id, 'evasiveness', NULL, 'No Q&A section found' FROM qa WHERE qa_start < 0"""
 )
 def score_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches, calls of an offline scorer, parsing and aggregation, end to end."""
-    return scoring.score(rel.calls(spark, sf_dir), offline_scorer).select("transcript_id", "dimension", "score")
+    return scoring.score(rel.calls(spark, sf_dir), offline_scorer).select("transcript_id", "dimension", "score", "error")
 
 
 @query(f"""WITH {_WIDE} SELECT '{{"company":"' || company || '","year":' || year || ',"quarter":"' || quarter || '"' || {" || ".join(f"',\"{d}\":' || coalesce(CAST({d} AS VARCHAR), 'null')" for d in DIMENSIONS)} || '}}' AS record FROM wide""")

@@ -32,9 +32,14 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, company, quarter, year`` of the transcripts that are still stored: some were replaced and their scores orphaned."""
-    keys = scores_long(spark, sf_dir).select(F.col("transcript_id").alias("id"), "company", "quarter", "year").distinct()
-    return keys.where("id % 7 <> 0")
+    """``id, company, quarter, year`` of every transcript."""
+    return scores_long(spark, sf_dir).select(F.col("transcript_id").alias("id"), "company", "quarter", "year").distinct()
+
+
+def replaced_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcripts after some were ingested anew under another id, which leaves their scores orphaned."""
+    stale = F.col("id") % 7 == 0
+    return transcripts(spark, sf_dir).withColumn("id", F.when(stale, -F.col("id")).otherwise(F.col("id")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,15 @@ def plain_pages(content: bytes) -> list[str]:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, content`` of the folder's PDF files, whatever the extension's case."""
+    """``path, content`` of the folder's PDF files, whatever the extension's case; see :func:`listing` for their order."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """The files' paths in order.  Texts are not moved to sort them: nothing that follows depends on the order."""
+    return files.select("path").orderBy("path")
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
@@ -62,9 +67,9 @@ def transcripts(files: DataFrame, target: int = CHUNK_WORDS) -> DataFrame:
     return large.select("meta.*", F.element_at(F.split("path", "/"), -1).alias("source_file"), X.chunks(X.clean(F.col("text")), target).alias("chunks"))
 
 
-def ingest(spark: SparkSession, folder: str, path: str, extract: Extractor = plain_pages) -> None:
-    """Scan, clean, chunk, and replace the transcripts' partitions at ``path``."""
-    store.replace_transcripts(spark, path, transcripts(texts(scan(spark, folder), extract)))
+def ingest(spark: SparkSession, folder: str, path: str, extract: Extractor = plain_pages) -> dict[str, int]:
+    """Scan, clean, chunk, and replace the transcripts' partitions at ``path``; returns documents, chunks and words."""
+    return store.replace_transcripts(spark, path, transcripts(texts(scan(spark, folder), extract)))
 
 
 def write_clean_texts(files: DataFrame, path: str) -> None:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import cli
 from corvane.functions import responses, text as X
 from corvane.operators import reports, scoring, store, trends
 from corvane.plans import catalog
 from corvane.sources import files
-from corvane.sources.schemas import DIMENSIONS, SCORES
+from corvane.sources.schemas import DIMENSIONS, SCORES, SCORING_RUNS, TRANSCRIPTS
 from corvane.streaming.ingest import ingest_stream
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +57,8 @@ def test_trends(spark):
     assert rows["A", 2024, "Q1"]["evasiveness_ma3"] == 7 and rows["A", 2024, "Q1"]["sentiment_shift_ma3"] is None
     worst = {(r["company"], r["dimension"]): r for r in trends.biggest_worsening(frame).collect()}
     assert worst["A", "evasiveness"]["prev_quarter"] == "Q1" and ("B", "evasiveness") not in worst
+    assert [(r["company"], r["dimension"]) for r in trends.biggest_worsening(frame).collect()] == [("A", "sentiment_shift"), ("A", "evasiveness")]
+    assert [(r["quarter"], r["company"]) for r in trends.chronological(frame).collect()][-2:] == [("Q1", "B"), ("Q3", "A")]
     assert trends.biggest_worsening(frame.limit(0)).count() == 0
 
 
@@ -73,41 +74,35 @@ def test_text(spark):
     assert len(X.DODGE_PHRASES) == 42
 
 
-def plain_pack(units, target):
-    out, held, n = [], [], 0
-    for u in units:
-        w = len(u.split())
-        if held and n + w > target:
-            out.append(held)
-            held, n = [], 0
-        held.append(u)
-        n += w
-    return [*out, held] if held else out
-
-
-def plain_chunks(text, target):
-    parts = [p.strip() for p in text.split("\n\n") if p.strip()]
-    if len(parts) == 1 and len(parts[0].split()) > 2 * target:
-        cut = re.split(r"^\s*([A-Z][A-Za-z .'-]{2,40}):?\s*$", text, flags=re.M)
-        if len(cut) > 1:
-            parts = [f"{a.strip()}:\n{b.strip()}" for a, b in zip(cut[1::2], cut[2::2], strict=True)]
-        else:
-            parts = [text]
-    units = []
-    for p in parts:
-        if len(p.split()) > 1.5 * target:
-            units += [" ".join(g) for g in plain_pack(re.split(r"(?<=[.!?])\s+(?=[A-Z])", p), target)]
-        else:
-            units.append(p)
-    return [" ".join(g) for g in plain_pack(units, target)]
+def test_pack(spark):
+    units = lambda *texts: F.array(*map(F.lit, texts))
+    assert one(spark, X.pack(units("a b", "c", "d e f", "g h i j k", "l"), 4)) == [["a b", "c"], ["d e f"], ["g h i j k"], ["l"]]
+    assert one(spark, X.pack(units("", "a", ""), 1)) == [["", "a", ""]]
+    assert one(spark, X.pack(F.array().cast("array<string>"), 4)) == []
+    assert one(spark, X.pack(F.lit(None).cast("array<string>"), 4)) == []
 
 
 def test_chunks(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150).collect()
-    several = [(-1, "one two.\n\nthree four.\n\n" + "Five six. " * 40)]
-    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs] + several, "doc_id long, text string")
-    for r in frame.select("text", X.chunks(F.col("text"), 60).alias("c")).collect():
-        assert r["c"] == plain_chunks(r["text"], 60)
+    """What the chunker's rules give, written out by hand."""
+    ten = "one two three four five six seven eight nine ten"
+    cases = {
+        "": [],
+        "A few words.": ["A few words."],
+        # paragraphs are the units, packed up to the target
+        f"{ten}\n\n{ten}\n\nlast words": [f"{ten} {ten}", "last words"],
+        # a paragraph of over one and a half targets is cut into packed sentences, one of exactly that is not
+        f"Head.\n\n{ten} a. {ten} b. Cut {ten} c. {ten} d.": ["Head.", f"{ten} a. {ten} b.", f"Cut {ten} c. {ten} d."],
+        f"Head.\n\n{ten} {ten} {ten}": ["Head.", f"{ten} {ten} {ten}"],
+        # one paragraph of over two targets falls back to speaker turns; what stands before the first label goes
+        f"intro\nJane Doe:\n{ten} {ten}\nBob Roe\n{ten} {ten}": [f"Jane Doe:\n{ten} {ten}", f"Bob Roe:\n{ten} {ten}"],
+        # and without a label to its sentences
+        f"Start {ten}. {ten}. Next {ten}. Then {ten}.": [f"Start {ten}. {ten}.", f"Next {ten}.", f"Then {ten}."],
+        # of two targets at most it stays
+        f"{ten} {ten} {ten} {ten}".rsplit(" ", 10)[0]: [f"{ten} {ten} {ten}"],
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "text string")
+    for r in frame.select("text", X.chunks(F.col("text"), 20).alias("c")).collect():
+        assert r["c"] == cases[r["text"]], r["text"]
 
 
 def test_responses(spark):
@@ -132,23 +127,76 @@ def test_retry():
     assert len(slept) == 3
 
 
+CALLS = [(1, ["intro", "we'll take our first question", "going forward, at this point"]), (2, ["no questions"])]
+
+
 def test_scoring(spark):
-    frame = spark.createDataFrame([(1, ["intro", "we'll take our first question", "going forward, at this point"]), (2, ["no questions"])], "transcript_id long, chunks array<string>")
-    found = {(r["transcript_id"], r["dimension"]): r["score"] for r in scoring.score(frame, catalog.offline_scorer).collect()}
-    assert len(found) == 9 and (2, "evasiveness") not in found and all(1 <= s <= 10 for s in found.values())
+    frame = spark.createDataFrame(CALLS, "transcript_id long, chunks array<string>")
+    found = {(r["transcript_id"], r["dimension"]): r for r in scoring.score(frame, catalog.offline_scorer).collect()}
+    assert len(found) == 10
+    none = found.pop((2, "evasiveness"))  # no question part: no call, no score, no phrases
+    assert none["score"] is None and none["error"] == scoring.NO_QUESTIONS and none["total_count"] == 0
+    assert all(1 <= r["score"] <= 10 and r["error"] is None for r in found.values())
+    assert found[1, "evasiveness"]["total_count"] == 2 and found[1, "overpromising"]["total_count"] is None
     words = {r["transcript_id"]: r["total_count"] for r in scoring.keyword_result(frame).collect()}
     assert words == {1: 2, 2: 0}
 
     def broken(*_):
         raise RuntimeError("down")
 
-    assert all(r["score"] is None and r["error"] == "down" for r in scoring.score(frame, broken).collect())
+    errors = lambda scorers: {r["error"] for r in scoring.score(frame, scorers).collect() if r["score"] is None}
+    assert errors(broken) == {"down", scoring.NO_QUESTIONS}
+    assert errors(None) == errors({}) == {scoring.NOT_CONFIGURED, scoring.NO_QUESTIONS}
+
+
+def test_each_request_is_sent_once(spark, tmp_path):
+    frame = spark.range(20).selectExpr("id as transcript_id", "array('we have our first question', 'text') as chunks")
+    log = str(tmp_path / "calls")
+
+    def counting(system, prompt, model):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return catalog.offline_scorer(system, prompt, model)
+
+    assert scoring.score(frame, counting).where("score is not null").count() == 100
+    with open(log) as f:
+        assert len(f.readlines()) == scoring.requests(frame).count() == 100
+
+
+def test_score_and_store(spark, tmp_path):
+    at = store.Paths.under(str(tmp_path))
+    rows = [("ACME", q, 2024, f"ACME_{q}_2024.pdf", ["hello", "we'll take our first question", "time will tell"] if q == "Q1" else ["hello"]) for q in ("Q1", "Q2")]
+    totals = store.replace_transcripts(spark, at.transcripts, spark.createDataFrame(rows, "company string, quarter string, year int, source_file string, chunks array<string>"))
+    assert totals == {"documents": 2, "chunks": 4, "words": 10}
+    log = str(tmp_path / "calls")
+
+    def counting(system, prompt, model):
+        with open(log, "a") as f:
+            f.write(f"{model}\n")
+        return catalog.offline_scorer(system, prompt, model)
+
+    results = scoring.score_and_store(spark, at, counting, model="m")
+    assert results.count() == 10
+    scores, runs = store.table(spark, at.scores, SCORES), store.table(spark, at.runs, SCORING_RUNS)
+    assert scores.count() == 9 and runs.count() == 9 and {r["model_name"] for r in runs.collect()} == {"m"}
+    again = scoring.score_and_store(spark, at, counting, model="m2", skip_existing=True)  # only the call without a question part
+    assert again.count() == 5
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["m"] * 9 + ["m2"] * 4
+    spark.catalog.refreshByPath(at.scores)
+    assert sorted(r["model_name"] for r in store.table(spark, at.scores, SCORES).collect()) == ["m"] * 5 + ["m2"] * 4
+    assert store.table(spark, at.runs, SCORING_RUNS).count() == 13
+    transcripts = store.table(spark, at.transcripts, TRANSCRIPTS)
+    looked = store.get_scores(store.table(spark, at.scores, SCORES), transcripts, "acme", "Q1", 2024).collect()
+    assert [r["dimension"] for r in looked] == sorted(DIMENSIONS)
+    checked = scoring.validate(spark, at, None, company="acme")
+    assert checked.count() == 5 and {r["quarter"] for r in checked.collect()} == {"Q1"}
+    assert store.table(spark, at.scores, SCORES).count() == 9
 
 
 def test_store(spark, tmp_path):
     path = f"{tmp_path}/transcripts"
     docs = lambda chunks: spark.createDataFrame([("A", "Q1", 2024, "A_Q1_2024.pdf", chunks)], "company string, quarter string, year int, source_file string, chunks array<string>")
-    from corvane.sources.schemas import TRANSCRIPTS
 
     for chunks in (["a b", "c"], ["new one"], []):
         store.replace_transcripts(spark, path, docs(chunks))
@@ -156,12 +204,47 @@ def test_store(spark, tmp_path):
         stored = store.table(spark, path, TRANSCRIPTS)
         assert [r["chunk_text"] for r in store.get_chunks(stored, "a").collect()] == chunks
     scores = f"{tmp_path}/scores"
-    for value in (3, 9):
-        new = spark.range(1).selectExpr("1L transcript_id", "'evasiveness' dimension", f"{value} score", "array('q') supporting_quotes", "current_timestamp() scored_at", "'m' model_name", "'v' prompt_version", "'r' raw_llm_response")
-        store.upsert_scores(spark, scores, new)
+    made = lambda n, value: spark.range(n).selectExpr("id transcript_id", "'evasiveness' dimension", f"{value} score", "array('q') supporting_quotes", "current_timestamp() scored_at", "'m' model_name", "'v' prompt_version", "'r' raw_llm_response")
+    for n, value in ((300, 3), (1, 9), (0, 1)):
+        store.upsert_scores(spark, scores, made(n, value))
         spark.catalog.refreshByPath(scores)
-    assert [r["score"] for r in store.table(spark, scores, SCORES).collect()] == [9]
-    assert reports.quality(store.table(spark, scores, SCORES), spark.createDataFrame([(1,)], "id long")).where("bad > 0").count() == 0
+    found = {r["transcript_id"]: r["score"] for r in store.table(spark, scores, SCORES).collect()}
+    assert found == {0: 9} | dict.fromkeys(range(1, 300), 3)
+    assert not list((tmp_path / "scores.staged").iterdir())
+    assert reports.quality(store.table(spark, scores, SCORES), spark.range(300)).where("bad > 0").count() == 0
+    runs = f"{tmp_path}/runs"
+    for _ in range(2):
+        store.append_runs(runs, made(2, 5))
+    assert store.table(spark, runs, SCORING_RUNS).count() == 4
+
+
+def test_clean_text_files(spark, tmp_path):
+    frame = spark.createDataFrame([("/in/A_Q1_2024.pdf", "Confidential\n first  line \n\n12\nsecond"), ("/in/B_Q1_2024.pdf", "x")], "path string, text string")
+    for _ in range(2):
+        files.write_clean_texts(frame, f"{tmp_path}/texts")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/texts/stem=A_Q1_2024").collect()] == ["first line", "second"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for q in ("Q1", "Q2"):
+        (folder / f"acme_{q}_2024.pdf").write_text("We have our first question. " + "Time will tell. " * (20 if q == "Q1" else 40))
+    (folder / "bad name.pdf").write_text("x " * 100)
+    run = lambda command, *more: cli.main([command, "--store", f"{tmp_path}/store", *more], spark)
+    assert run("ingest", str(folder), "--log", f"{tmp_path}/log.txt")["documents"] == 2
+    assert "bad name" in (tmp_path / "log.txt").read_text()
+    scorer = ("--scorer", "corvane.plans.catalog:offline_scorer", "--model", "m")
+    assert run("score", "--dry-run").collect()[0]["n_calls"] == 5
+    assert run("score").where("score is null and error = 'LLM not configured'").count() == 10
+    assert run("score", *scorer).where("score is not null").count() == 10
+    assert run("score", "--dry-run", "--skip-existing").count() == 0
+    assert run("evasiveness", "--company", "acme").collect()[0]["total_count"] > 0
+    assert run("validate", "--year", "2024", *scorer).count() == 5
+    run("trend", "--company", "Acme", "--json", f"{tmp_path}/json")
+    assert spark.read.text(f"{tmp_path}/json/qoq_deltas").count() == 2
+    assert run("check").where("bad > 0").count() == 0
+    assert "Evasiveness" in capsys.readouterr().out
 
 
 def test_files_and_stream(spark, tmp_path):
@@ -170,8 +253,8 @@ def test_files_and_stream(spark, tmp_path):
     (folder / "acme_Q2_2024.PDF").write_text("Page 1 of 2\n" + "Word here. " * 60)
     (folder / "bad name.pdf").write_text("x " * 100)
     (folder / "tiny_Q1_2024.pdf").write_text("too short")
-    from corvane.sources.schemas import TRANSCRIPTS
 
+    assert [r["path"].rsplit("/", 1)[1] for r in files.listing(files.scan(spark, str(folder))).collect()] == ["acme_Q2_2024.PDF", "bad name.pdf", "tiny_Q1_2024.pdf"]
     files.ingest(spark, str(folder), f"{tmp_path}/a")
     rows = store.table(spark, f"{tmp_path}/a", TRANSCRIPTS).collect()
     assert [(r["company"], r["quarter"], r["year"], r["word_count"]) for r in rows] == [("ACME", "Q2", 2024, 120)]
