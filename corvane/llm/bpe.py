@@ -16,7 +16,8 @@ text has no ids.  Extra columns are ignored; repeated rows give repeated rows.
 from __future__ import annotations
 
 import base64
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -30,17 +31,21 @@ from corvane.llm.common import session
 
 #: Entries of each memo in a worker; a full memo starts anew.
 MEMO = 300_000
-_EDGE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class Memo(dict):
-    """A bounded dict that computes what it lacks; ``map(memo.__getitem__, keys)`` runs in C."""
+    """A bounded dict that computes what it lacks; ``map(memo.__getitem__, keys)`` runs in C.
+
+    When half of ``limit`` is full, what is held moves aside and is looked up
+    there before it is computed again; so what is used often stays, and what is
+    not goes with the next turn.
+    """
 
     made: list[Memo] = []
 
     def __init__(self, make, limit: int = MEMO) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.aside = make, limit // 2, {}
         Memo.made.append(self)
 
     @staticmethod
@@ -49,11 +54,15 @@ class Memo(dict):
         for memo in Memo.made:
             if not any(memo is m for m in memos):
                 memo.clear()
+                memo.aside = {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if (value := self.aside.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.aside = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -70,7 +79,7 @@ class ByteBPE:
             self.pieces[rank] = piece
         self.leaves = [0] * 1024  # the rank bitmap; all zero between calls
         self.findall = regex.compile(pattern).findall
-        self.tokens = Memo(lambda token: np.array(self.merge(token.encode()), "<u4").tobytes(), MEMO * 5 // 3)
+        self.tokens = Memo(self._token, MEMO * 5 // 3)
         self.chunks = Memo(self._chunk)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -136,6 +145,12 @@ class ByteBPE:
             ids.append(ranks[piece[i : (i := after[i])]])
         return ids
 
+    def _token(self, token: str) -> bytes:
+        ids = array("I", self.merge(token.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         """A chunk between spaces; without a line break at its start, a space stood before it."""
         text = chunk if chunk[:1] == "\n" else f" {chunk}"
@@ -148,7 +163,8 @@ class ByteBPE:
         whatever stands around them, so such texts are cut there and chunks
         are looked up; any other text goes through the pattern as a whole.
         """
-        if not text or _EDGE.search(text):
+        words = text.split()
+        if not words or sum(map(len, words)) + len(words) - 1 != len(text):
             return b"".join(map(self.tokens.__getitem__, self.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
         return b"".join(map(self.tokens.__getitem__, self.findall(first))) + b"".join(map(self.chunks.__getitem__, rest))
