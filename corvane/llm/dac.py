@@ -8,10 +8,11 @@ before every 512th) turns a position of one level into a position of the next
 by one directory look-up and one popcount, so any id is read without decoding
 the ids around it.  Frequent small ids cost one byte and one bit.
 
-File format: Parquet rows ``part, segment, first_doc, n_ids, doc_ids, doc_lens,
-codes`` in ascending document order; ``doc_ids`` (int64) and ``doc_lens``
-(uint32) are little-endian arrays, ``codes`` is the DAC blob.  Spark reads and
-writes it, so it lives in any store that Spark reaches.
+File format: Parquet rows ``part, segment, first_doc, n_ids, doc_ids, no_ids,
+doc_lens, codes``, whose order by ``part, segment`` is the ascending document
+order; ``doc_ids`` (int64) and ``doc_lens`` (uint32) are little-endian arrays,
+``no_ids`` is a bitmap of the documents without an id, ``codes`` is the DAC
+blob.  Spark reads and writes it, so it lives in any store that Spark reaches.
 
 Null texts count as empty (only the end id is written); rows with a null id
 come first; repeated ids keep one entry for each row; extra columns are ignored;
@@ -20,15 +21,16 @@ an empty table gives a readable, empty file.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.llm.bpe import Memo
@@ -36,7 +38,7 @@ from corvane.llm.common import BROADCAST_BYTES, materialize, session
 
 SEGMENT_IDS = 1 << 20
 DIRECTORY = 512
-_SEGMENT = "part int, segment int, first_doc long, n_ids long, doc_ids binary, doc_lens binary, codes binary"
+_SEGMENT = "part int, segment int, first_doc long, n_ids long, doc_ids binary, no_ids binary, doc_lens binary, codes binary"
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -104,24 +106,55 @@ class DirectCodes:
         return out
 
 
+# A pattern of pre-tokens, and what it cuts from lower-case Latin-1 text without apostrophes.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾ ]+")
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from 256 on.
+_SPELL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of words.
+    """Ids of whole texts by the tokenizers library, with bounded memos of words and pre-tokens.
 
     The vocabulary must treat ASCII white space as a mere separator, as one
     that drops white space before its merges does: then a text's ids are its
-    words' ids in turn.
+    words' ids in turn.  Where the vocabulary's own rules cut a Latin-1 word as
+    ``_LATIN`` does, its pre-tokens go to the library's model one by one and are
+    kept; any other word goes through the library as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._encode, limit)
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = np.dtype(self.kind)
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        parts = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model if self._cuts_alike(parts["normalizer"], parts["pre_tokenizer"]) else None
+        self.memo, self.pieces = Memo(self._encode, limit), Memo(self._piece, limit)
+
+    @staticmethod
+    def _cuts_alike(normalizer: dict | None, pre: dict | None) -> bool:
+        steps = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
+        cut, *rest = (pre or {}).get("pretokenizers", [{}])
+        plain = cut.get("pattern") == {"Regex": _CUTS} and cut.get("behavior") == "Removed" and cut.get("invert")
+        spelt = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        return bool(steps == ["NFC", "Replace", "Lowercase"] and plain and spelt)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_SPELL)
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.width).tobytes()
+        text = word.decode()
+        low = text.lower()
+        if self.model is None or "'" in low or not low.isprintable() or max(text) > "ÿ" or self.special(low):
+            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, _LATIN.findall(low)))
 
     def __call__(self, text: bytes) -> bytes:
         return b"".join(map(self.memo.__getitem__, text.split()))
@@ -139,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, *, end_id: int | None = 1, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(vocabulary)
-        Memo.only(one.memo)
+        Memo.only(one.memo, one.pieces)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = [np.frombuffer(one(x.as_py()), one.width).astype("<u4").tobytes() + end for x in batch.column(1)]
@@ -148,55 +181,56 @@ def encode(docs: DataFrame, vocabulary: str, *, end_id: int | None = 1, id_col:
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _narrow(encoded: DataFrame) -> DataFrame:
-    """Ids at two bytes each, where all of a document's fit, for the shuffle to document order."""
+def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
+    """Encode ``docs`` as :func:`encode` does and write the ids at ``path``, in ascending ``doc_id`` order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Documents are dealt to ranges by quantiles of their ids, so texts are encoded
+    once, in front of the only shuffle, which carries two bytes for an id where
+    all of a document's fit.  Each range becomes segments of about
+    ``segment_ids`` ids; a segment is all that a task holds.
+    """
+    spark = docs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    cuts = np.array(sorted(set(ids.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 80 * n)).first()[0] or [])), np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc = batch.column(0)
+            # range k: ids in (cut before, cut]; null ids come first
+            part = np.where(np.asarray(doc.is_null()), -1, np.searchsorted(cuts, np.asarray(doc.fill_null(0)), "left"))
             out = []
             for x in batch.column(1):
-                ids = np.frombuffer(x.as_py(), "<u4")
-                wide = len(ids) and int(ids.max()) >= 1 << 16
-                out.append(b"\4" + ids.tobytes() if wide else b"\2" + ids.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    return encoded.mapInArrow(run, "doc_id long, ids binary")
-
-
-def write(encoded: DataFrame, path: str, *, partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
-    """Write the rows of :func:`encode` at ``path``, in ascending ``doc_id`` order.
-
-    The packed ids are written to the shared folder first: a range shuffle reads
-    its input twice, once to find the ranges, and would encode twice.  One range
-    shuffle follows; each task writes its range as segments of about
-    ``segment_ids`` ids.
-    """
-    spark = encoded.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                own = np.frombuffer(x.as_py(), "<u4")
+                wide = len(own) and int(own.max()) >= 1 << 16
+                out.append(b"\4" + own.tobytes() if wide else b"\2" + own.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(out, pa.binary())], names=["part", "doc_id", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, docs, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        at, segment, docs, parts, held = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = [part, segment, docs[0], held, np.array([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes(), np.array(list(map(len, parts)), "<u4").tobytes(), DirectCodes.build(np.concatenate(parts))]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            names = ["part", "segment", "first_doc", "n_ids", "doc_ids", "doc_lens", "codes"]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            row = [at, segment, docs[0], held, np.array([d or 0 for d in docs], "<i8").tobytes(), np.packbits([d is None for d in docs], bitorder="little").tobytes(), np.array(list(map(len, parts)), "<u4").tobytes(), DirectCodes.build(np.concatenate(parts))]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if docs and (part != at or held >= segment_ids):
+                    yield close()
+                    segment, docs, parts, held = segment + 1, [], [], 0
+                if part != at:
+                    at, segment = part, 0
                 packed = packed.as_py()
                 docs.append(doc)
                 parts.append(np.frombuffer(packed, "<u4" if packed[:1] == b"\4" else "<u2", offset=1))
                 held += len(parts[-1])
-                if held >= segment_ids:
-                    yield close()
-                    segment, docs, parts, held = segment + 1, [], [], 0
         if docs:
             yield close()
 
-    ordered = materialize(_narrow(encoded), "packed-ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(run, _SEGMENT).write.parquet(path)
+    encoded = encode(docs, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
+    dealt = encoded.mapInArrow(placed, "part int, doc_id long, packed binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    dealt.mapInArrow(run, _SEGMENT).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -214,19 +248,19 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32-bit) of each document in the file."""
     session(spark)
-    table = spark.read.schema(_SEGMENT).parquet(path).select("part", "segment", "doc_ids", "doc_lens", "codes")
+    table = spark.read.schema(_SEGMENT).parquet(path).select("part", "segment", "doc_ids", "no_ids", "doc_lens", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, segment, doc_ids, doc_lens, codes = (c[row].as_py() for c in batch.columns)
+                part, segment, doc_ids, no_ids, doc_lens, codes = (c[row].as_py() for c in batch.columns)
                 ids, docs, lens = DirectCodes(codes).all(), np.frombuffer(doc_ids, "<i8"), np.frombuffer(doc_lens, "<u4").astype(np.int64)
-                ends = np.cumsum(lens)
+                ends, unknown = np.cumsum(lens), np.unpackbits(np.frombuffer(no_ids, np.uint8), count=len(docs), bitorder="little").astype(bool)
                 for at in range(0, len(docs), 256):
                     to = slice(at, at + 256)
                     n = len(docs[to])
                     cut = [ids[e - k : e].astype("<u4").tobytes() for e, k in zip(ends[to].tolist(), lens[to].tolist(), strict=True)]
-                    known = pa.array(docs[to], pa.int64(), mask=docs[to] == -(1 << 63))
+                    known = pa.array(docs[to], pa.int64(), mask=unknown[to])
                     yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), known, pa.array(ends[to] - lens[to]), pa.array(lens[to]), pa.array(cut, pa.binary())], names=["part", "segment", "doc_id", "inside", "n_tokens", "ids"])
 
     docs = table.mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids binary")

@@ -63,7 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write the file in document order, and read it back."""
     path = scratch_path(spark, "token-file")
-    dac.write(dac.encode(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer("word_bpe_49k.json")), path)
+    dac.write(_documents(spark, sf_dir, "doc_id", "text"), path, _tokenizer("word_bpe_49k.json"))
     return dac.checksums(dac.read(spark, path))
 
 

@@ -172,9 +172,9 @@ def test_fingerprint(table, empty, spark):
     for t, rows in got.toPandas().merge(plain[["doc_id", "text"]], on="doc_id").fillna("").groupby("text"):
         assert rows.fingerprint.nunique() == 1
     assert fingerprint.edit_fingerprints(empty).count() == 0
-    forms = spark.createDataFrame([(1, "Café  au lait "), (2, "café AU\nlait"), (3, "cafe au lait"), (4, "ﬁn"), (5, "fin")], "doc_id long, text string")
+    forms = spark.createDataFrame([(1, "Café  au lait "), (2, "café AU\nlait"), (3, "cafe au lait"), (4, "ﬁn"), (5, "fin"), (6, "Straße ΟΔΟΣ"), (7, "STRASSE οδος")], "doc_id long, text string")
     f = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprint(forms).collect()}
-    assert f[1] == f[2] != f[3] and f[4] == f[5]
+    assert f[1] == f[2] != f[3] and f[4] == f[5] and f[6] == f[7]
 
 
 def test_fingerprint_collisions(table):
@@ -221,17 +221,37 @@ def test_language(spark, empty):
 def test_token_file(table, empty, spark, tmp_path):
     docs, plain = table
     path, vocabulary = f"{tmp_path}/tokens", public_tokenizers.path("word_bpe_49k.json")
-    dac.write(dac.encode(docs, vocabulary), path, segment_ids=500)
+    dac.write(docs, path, vocabulary, segment_ids=500)
     same(dac.checksums(dac.read(spark, path)), brute.op8(plain))
     ids = {}
     for r in dac.read(spark, path).collect():
         ids.update(enumerate(np.frombuffer(r["ids"], "<u4").tolist(), r["start"]))
     asked = spark.createDataFrame([(p,) for p in (0, 1, 499, 500, len(ids) - 1, len(ids) + 5)], "position long")
     assert {r["position"]: r["id"] for r in dac.lookup(spark, path, asked).collect()} == {p: ids[p] for p in (0, 1, 499, 500, len(ids) - 1)}
-    dac.write(dac.encode(empty, vocabulary), f"{tmp_path}/none")
+    dac.write(empty, f"{tmp_path}/none", vocabulary)
     assert dac.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_file_ids(spark, tmp_path):
+    """Null, repeated and extreme ids come back as they were, null first."""
+    ids = [None, -(1 << 63), (1 << 63) - 1, 7, 7, None, 0]
+    docs = spark.createDataFrame([(i, f"text {k}", k) for k, i in enumerate(ids)], "doc_id long, text string, part int")
+    dac.write(docs, f"{tmp_path}/ids", public_tokenizers.path("word_bpe_49k.json"), segment_ids=4)
+    back = dac.read(spark, f"{tmp_path}/ids").orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [None, None, -(1 << 63), 0, 7, 7, (1 << 63) - 1]
+    assert [r["start"] for r in back] == [sum(r["n_tokens"] for r in back[:k]) for k in range(len(back))]
+
+
+def test_word_encoder_random_strings():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    whole, words = Tokenizer.from_file(path), dac.encoder(path)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B", "th", "'s", "'", "é", "e\u0301", "İ", "K", "1", "22", ".", "##", " ", "\n", "\xa0", "\x1c", "ß", "ÀÉ", "µ²½", "\xad", "©»", "Σ", "日本", "\U0001f600", "<|endoftext|>", "<|StartOfText|>"]) for _ in range(rng.randrange(20)))
+        assert np.frombuffer(words(text.encode()), words.width).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_direct_codes():
     rng = np.random.default_rng(2)
     for ids in (rng.integers(0, 1 << 17, 3000), rng.integers(0, 200, 1500), np.array([70000]), np.arange(1024)):
