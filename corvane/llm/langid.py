@@ -3,16 +3,20 @@
 Text is counted as hashed character n-grams (one to three, lower-cased).  A
 first set of one-versus-rest linear support vector machines names the family of
 the language; inside a family, one linear support vector machine for each pair
-of languages votes.  Families are a parameter; a language without one is a
-family of its own.
-
-The machines are fitted on the driver on a bounded sample: at most
-``sample_per_language`` documents of each language, chosen by hash.  Everything
-else covers all rows: prediction is one pass without a shuffle.
-
-A null text, or one without a letter, is ``und`` with score 0; so is every text
-if there was nothing to learn from.  Labels that are null are not learned from.
-Extra columns are ignored; repeated rows give repeated rows.
+of languages votes.  Families are a parameter; languages without one form a
+family together.
+
+The machines are fitted in one task on a bounded sample: at most
+``sample_per_language`` documents of each language, chosen by hash, of the
+``max_languages`` most frequent languages; only their weights reach the driver.
+Everything else covers all rows: prediction is one pass without a shuffle.
+
+A null text, an empty one, or one without a letter, is ``und`` with score 0; so
+is every text if there was nothing to learn from, as with an empty table, whose
+result is empty.  Very long texts are counted whole, in stretches.  Labels that
+are null are not learned from; rows that repeat an id and a label are learned
+from once; a null id is predicted like any other.  Extra columns are ignored
+whatever their names; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -29,15 +33,32 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corvane.llm.bpe import Memo
 from corvane.llm.common import session
 
-#: Families of some languages by ISO 639-1 code.
-FAMILIES = {
-    "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
-    "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
-    "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic",
-}
+# Families of languages, as ISO 639-1 codes.
+_MEMBERS = {
+    "germanic": "en de nl sv da no nb nn is fy lb af yi",
+    "romance": "fr es it pt ro ca gl oc",
+    "slavic": "ru uk be pl cs sk bg mk sr hr bs sl",
+    "baltic": "lt lv",
+    "uralic": "fi et hu",
+    "celtic": "ga gd cy br",
+    "turkic": "tr az kk uz ky tk tt",
+    "iranian": "fa ps ku tg",
+    "indic": "hi ur bn pa mr gu ne or as si",
+    "dravidian": "ta te kn ml",
+    "semitic": "ar he mt am",
+    "austronesian": "id ms tl jv su mg",
+    "sinitic": "zh",
+    "japonic": "ja",
+    "koreanic": "ko",
+}
+FAMILIES = {language: family for family, languages in _MEMBERS.items() for language in languages.split()}
+#: The family of languages that none is known of.
+OTHER = "other"
 SIZE = 4096
 #: Documents of a language to learn from, at most.
 SAMPLE = 600
+#: Languages to learn, at most.
+LANGUAGES = 32
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _STRETCH = 1 << 16
@@ -60,23 +81,47 @@ def features(text: str) -> np.ndarray:
     return counts / max(np.sqrt(counts @ counts), 1e-12)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, *, penalty: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """A linear support vector machine (hinge loss, classes weighted alike) by dual coordinate descent; y is +-1."""
+def fit_svm(x: np.ndarray, which: np.ndarray, y: np.ndarray, *, penalty: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """A linear support vector machine (hinge loss, classes weighted alike) by dual coordinate descent.
+
+    ``which`` names the rows of ``x`` (with a last column of ones) to learn from, ``y`` their sides, +-1.
+    """
     rng = np.random.default_rng(5)
-    x = np.hstack([x, np.ones((len(x), 1))])
     cap = np.where(y > 0, penalty * len(y) / (2 * max((y > 0).sum(), 1)), penalty * len(y) / (2 * max((y < 0).sum(), 1)))
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1)
+    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(y))
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            old = alpha[i]
-            alpha[i] = min(max(old - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), cap[i])
+        for i in rng.permutation(len(y)):
+            row, old = x[which[i]], alpha[i]
+            # rows are unit vectors and a one: their squares sum to 2
+            alpha[i] = min(max(old - (y[i] * float(w @ row) - 1) / 2, 0.0), cap[i])
             if step := alpha[i] - old:
-                w += step * y[i] * x[i]
+                w += x.dtype.type(step * y[i]) * row
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return w
+    return w.astype(np.float64)
+
+
+def train(lang: list[str], rows: list[bytes], families: Mapping[str, str]) -> list[tuple[str, str | None, list[str], bytes]]:
+    """``(family, null, its languages, weights)`` of each family and ``(a, b, [], weights)`` of each pair in one."""
+    order = sorted(range(len(lang)), key=lambda i: (lang[i], rows[i]))
+    x = np.ones((len(rows), SIZE + 1), np.float32)
+    for at, i in enumerate(order):
+        x[at, :SIZE] = np.frombuffer(rows[i], "<f4")
+    name = np.array([lang[i] for i in order], object)
+    groups: dict[str, list[str]] = {}
+    for known in sorted(set(lang)):
+        groups.setdefault(families.get(known, OTHER), []).append(known)
+    out: list[tuple[str, str | None, list[str], bytes]] = []
+    everything = np.arange(len(name))
+    for family in sorted(groups):
+        weights = fit_svm(x, everything, np.where(np.isin(name, groups[family]), 1.0, -1.0)) if len(groups) > 1 else np.zeros(SIZE + 1)
+        out.append((family, None, groups[family], weights.astype("<f8").tobytes()))
+        for a, b in combinations(groups[family], 2):
+            of = np.flatnonzero(np.isin(name, [a, b]))
+            out.append((a, b, [], fit_svm(x, of, np.where(name[of] == a, 1.0, -1.0)).astype("<f8").tobytes()))
+    return out
 
 
 @dataclass(frozen=True)
@@ -111,39 +156,44 @@ def _squash(margin: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(2 * margin, -30, 30))))
 
 
-def fit(labelled: DataFrame, *, families: Mapping[str, str] = FAMILIES, sample_per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``sample_per_language`` documents of each language with text and a label."""
+def sample(labelled: DataFrame, *, sample_per_language: int = SAMPLE, max_languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, text`` of the documents to learn from: a bounded number, whatever the table holds.
+
+    Rows of a language with many documents are thinned by hash before they are
+    ranked, so a language's task gets a few times its sample, not a share of all rows.
+    """
+    named = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    narrow = named.where(F.col("text").rlike(r"\p{L}")).select("id", "lang", F.xxhash64("id").alias("order"))
+    # one row for each of max_languages languages: small enough to send
+    thin = narrow.join(F.broadcast(counts), "lang").where(F.pmod("order", F.lit(1 << 30)) * F.col("n").cast("double") < float(3 * sample_per_language << 30))
+    first = Window.partitionBy("lang").orderBy("order", "id")
+    # at most max_languages times sample_per_language rows, which is as small
+    chosen = thin.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_per_language).select("id", "lang")
+    same = named.alias("x").join(F.broadcast(chosen.alias("y")), F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.lang") == F.col("y.lang")), "left_semi")
+    return same.groupBy("id", "lang").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+
+
+def fit(labelled: DataFrame, *, families: Mapping[str, str] = FAMILIES, sample_per_language: int = SAMPLE, max_languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on the documents of :func:`sample`; they are counted where they are and meet in one task."""
     session(labelled.sparkSession)
-    named = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    narrow = named.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    # the sample has a fixed bound, languages times sample_per_language: small enough to send
-    chosen = narrow.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_per_language).select("_id").distinct()
-    texts = named.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = sample(labelled, sample_per_language=sample_per_language, max_languages=max_languages, id_col=id_col, text_col=text_col, lang_col=lang_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(x.as_py()).astype("<f4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "features"])
-
-    sample = texts.mapInArrow(counted, "lang string, features binary").collect()
-    sample.sort(key=lambda r: (r["lang"], bytes(r["features"])))
-    x = np.array([np.frombuffer(r["features"], "<f4") for r in sample], np.float64).reshape(-1, SIZE)
-    lang = np.array([r["lang"] for r in sample], object)
-    groups: dict[str, list[str]] = {}
-    for name in sorted(set(lang)):
-        groups.setdefault(families.get(name, f"={name}"), []).append(name)
-    order = [groups[k] for k in sorted(groups)]
-    if len(order) > 1:
-        weights = np.array([fit_svm(x, np.where(np.isin(lang, names), 1.0, -1.0)) for names in order])
-    else:
-        weights = np.zeros((len(order), SIZE + 1))
-    pairs = {}
-    for names in order:
-        for a, b in combinations(names, 2):
-            of = np.isin(lang, [a, b])
-            pairs[a, b] = fit_svm(x[of], np.where(lang[of] == a, 1.0, -1.0))
-    return Model(order, weights, pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([0] * len(rows), pa.int32())], names=["lang", "features", "together"])
+
+    def trained(table: pa.Table) -> pa.Table:
+        found = train(table.column("lang").to_pylist(), table.column("features").to_pylist(), families)
+        kinds = {"a": pa.string(), "b": pa.string(), "languages": pa.list_(pa.string()), "weights": pa.binary()}
+        return pa.table({k: pa.array([r[i] for r in found], kind) for i, (k, kind) in enumerate(kinds.items())})
+
+    of = texts.mapInArrow(counted, "lang string, features binary, together int").groupBy("together")
+    machines = of.applyInArrow(trained, "a string, b string, languages array<string>, weights binary").collect()
+    weights = lambda r: np.frombuffer(r["weights"], "<f8")
+    first = sorted((r for r in machines if r["b"] is None), key=lambda r: r["a"])
+    return Model([r["languages"] for r in first], np.array([weights(r) for r in first]), {(r["a"], r["b"]): weights(r) for r in machines if r["b"] is not None})
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
