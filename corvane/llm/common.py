@@ -3,35 +3,33 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: The folder that holds this package.
-ROOT = str(Path(__file__).resolve().parents[2])
+from corvane.session import ship
+
 #: A key column is broadcast only if its rows, counted first, stay below this many bytes.
 BROADCAST_BYTES = 24 << 20
-#: Rows handed to a Python worker at once; long texts keep a batch of this size small.
-ARROW_ROWS = 512
+#: Rows and bytes handed to a Python worker at once, at most; one longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 #: A word: a maximal run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Lower the Arrow batch size, so that a batch of long texts stays small, and let workers find this package.
+    """Bound the Arrow batches by rows and bytes, and let workers find this package.
 
-    Workers that have the package installed ignore the path.
+    These settings hold for the session from here on, as its queries run later
+    than this; lower ones of the caller stay.
     """
-    environment = spark.sparkContext.environment
-    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), ROOT]))
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if not 0 < rows <= ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship(spark)
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 

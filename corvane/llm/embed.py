@@ -2,7 +2,7 @@
 
 Unit vectors are rotated onto the principal axes of their second moments, so
 the first coordinates carry most of a product.  Vectors are dealt to groups
-along the first axis; every pair of groups is a tile.  A tile multiplies the
+along the first axis, by hash where many share a coordinate; every pair of groups is a tile.  A tile multiplies the
 leading coordinates first; what the rest can add is at most the product of the
 two suffix norms, so a pair that cannot reach the threshold any more stops
 there, and the next coordinates are added for the others.  What survives is
@@ -22,13 +22,15 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import materialize, session
+from corvane.llm.common import BROADCAST_BYTES, materialize, session
 from corvane.llm.graph import components
 
 #: Vectors in a group at most (on average), and groups at least.
@@ -147,6 +149,25 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, id_col: str =
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _tiles(grouped: DataFrame, box: int, reach: float) -> DataFrame:
+    """``x, y, group``: the pairs of groups to compare (x <= y), once for each of the two.
+
+    Unit vectors with a cosine of c are sqrt(2 - 2c) apart; boxes farther apart
+    than the square root of ``reach`` hold no link.  Groups meet by the cells of
+    that width that they touch on the first axis, so this is an equi-join.
+    """
+    sides = [f(F.col("lead")[k]).alias(f"{f.__name__}{k}") for k in range(box) for f in (F.min, F.max)]
+    boxes = materialize(grouped.groupBy("group").agg(*sides), "boxes")
+    width = max(math.sqrt(reach), 1e-3)
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    left = boxes.select(cells(F.col("min0"), F.col("max0")).alias("cell"), *[F.col(c).alias(f"{c}_x") for c in boxes.columns])
+    right = boxes.select(cells(F.col("min0") - width, F.col("max0") + width).alias("cell"), *[F.col(c).alias(f"{c}_y") for c in boxes.columns])
+    gaps = [F.greatest(F.lit(0.0), F.col(f"min{k}_x") - F.col(f"max{k}_y"), F.col(f"min{k}_y") - F.col(f"max{k}_x")) for k in range(box)]
+    near = left.join(right, "cell").where((F.col("group_x") <= F.col("group_y")) & (sum((g * g for g in gaps), F.lit(0.0)) <= reach))
+    pairs = near.select(F.col("group_x").alias("x"), F.col("group_y").alias("y")).distinct()
+    return materialize(pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("group")), "tiles")
+
+
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """``a, b, n``: forest edges (a, b, 0) and link counts (a, null, n) of the classes, by tile."""
     rotation = axes(classes, dim)
@@ -161,28 +182,25 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     at = materialize(classes.select("vector", "rep", "n").mapInArrow(placed, "vector array<double>, rep long, n long, lead array<double>"), "placed")
     total = at.count()
     groups = max(LEAST_GROUPS, -(-total // GROUP))
-    cuts = at.agg(F.percentile_approx(F.col("lead")[0], [i / groups for i in range(1, groups)], 100 * groups)).first()[0] or []
-    grouped = at.withColumn("group", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("lead")[0])))
-    edges = grouped.groupBy("group").agg(*[f(F.col("lead")[k]).alias(f"{f.__name__}{k}") for k in range(box) for f in (F.min, F.max)]).collect()
-    names = sorted(r["group"] for r in edges)
-    low = {r["group"]: np.array([r[f"min{k}"] for k in range(box)]) for r in edges}
-    high = {r["group"]: np.array([r[f"max{k}"] for k in range(box)]) for r in edges}
-    # unit vectors with a cosine of c are sqrt(2 - 2c) apart; boxes farther apart hold no link
-    reach = 2 - 2 * threshold + 1e-9
-    tiles: dict[int, list[int]] = {g: [] for g in names}
-    base = max(names, default=0) + 1
-    for a in names:
-        for b in names:
-            gap = np.maximum(0, np.maximum(low[a] - high[b], low[b] - high[a]))
-            if a <= b and (gap * gap).sum() <= reach:
-                tiles[a].append(a * base + b)
-                if b != a:
-                    tiles[b].append(a * base + b)
-    targets = F.create_map(*[x for g in names for x in (F.lit(g), F.array(*map(F.lit, tiles[g])).cast("array<long>"))])
-    dealt = grouped.select("vector", "rep", "n", "group", F.explode(targets[F.col("group")]).alias("tile"))
+    found = at.agg(F.percentile_approx(F.col("lead")[0], [i / groups for i in range(1, groups)], 100 * groups)).first()[0] or []
+    # a coordinate that many vectors share is a range of its own, dealt to several groups
+    often = {v: k for v, k in Counter(found).items() if k > 1}
+    cuts = np.array(sorted({*found, *(np.nextafter(v, -np.inf) for v in often)}))
+    first = np.concatenate([[0], np.cumsum([often.get(c, 0) + 1 for c in cuts.tolist()] + [1])]).astype(np.int64)
+
+    @F.arrow_udf("long")
+    def group_of(lead: pa.Array, salt: pa.Array) -> pa.Array:
+        k = np.searchsorted(cuts, lead.to_numpy(zero_copy_only=False), "left")
+        return pa.array(first[k] + salt.to_numpy(zero_copy_only=False) % (first[k + 1] - first[k]), pa.int64())
+
+    grouped = materialize(at.withColumn("group", group_of(F.col("lead")[0], F.pmod(F.hash("rep"), F.lit(1 << 20)))), "grouped")
+    tiles = _tiles(grouped, box, 2 - 2 * threshold + 1e-9)
+    if tiles.count() * 64 <= BROADCAST_BYTES:
+        tiles = F.broadcast(tiles)
+    dealt = grouped.join(tiles, "group").select("vector", "rep", "n", "group", "x", "y")
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
-        a, b = divmod(key[0].as_py(), base)
+        a, b = key[0].as_py(), key[1].as_py()
         x, rep, n = _matrix(table.column("vector"), dim), table.column("rep").to_numpy(), table.column("n").to_numpy()
         group = table.column("group").to_numpy()
         left, right = np.flatnonzero(group == a), np.flatnonzero(group == b)
@@ -201,4 +219,4 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             }
         )
 
-    return dealt.groupBy("tile").applyInArrow(compared, "a long, b long, n long")
+    return dealt.groupBy("x", "y").applyInArrow(compared, "a long, b long, n long")

@@ -1,7 +1,7 @@
 """Document fingerprints: canonical exact digests (DataFrame functions only).
 
-Canonical form: Unicode normalisation (NFKC, by the ICU library that Spark
-ships), case folding by lower-casing, every run of white space to one space,
+Canonical form: Unicode normalisation (NFKC) and case folding, both by the ICU
+library that Spark ships, every run of white space to one space,
 none at the ends.  Two seeded 64-bit xxhashes of the canonical bytes make a
 128-bit bucket.  Inside every bucket of more than one text the bytes themselves
 are compared; texts that differ in one bucket get different suffixes, so two
@@ -15,15 +15,23 @@ fingerprints; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.llm.common import materialize, semi
 
 
+#: Characters of a bucket of :func:`with_next` on average, at most.
+BUCKET_CHARS = 16 << 20
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, single spaces.  Lower-casing can undo a composition, so it is normalised again."""
+    """NFKC, folded case, single spaces.  Folding can undo a composition, so it is normalised again.  Of ASCII text, folding is lower-casing."""
     nfkc = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    plain = F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7F]"), nfkc(F.lower(nfkc(F.coalesce(text, F.lit("")))))).otherwise(F.lower(text))
+    folded = lambda c: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    plain = F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7F]"), nfkc(folded(nfkc(F.coalesce(text, F.lit("")))))).otherwise(F.lower(text))
     return F.trim(F.regexp_replace(F.coalesce(plain, F.lit("")), r"(?U)\s+", " "))
 
 
@@ -74,6 +82,14 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return named.select("doc_id", _name("_h1", "_h2", "_rank").alias("fingerprint"))
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below ``value``, looked for among every so many of them and then in one stretch."""
+    step = max(1, math.isqrt(len(cuts)))
+    numbers = lambda some: F.from_json(F.lit(json.dumps(some)), "array<bigint>")  # noqa: E731  one literal in the plan
+    whole = F.size(F.filter(numbers(cuts[step - 1 :: step]), lambda c: c < value)) * step
+    return whole + F.size(F.filter(F.slice(numbers(cuts), whole + 1, F.lit(step)), lambda c: c < value))
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``doc_id, text, next_id, next_text``: each document beside the next by descending id, the first after the last.
 
@@ -83,12 +99,12 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     cuts = sorted(set(found))
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     # bucket 0 has the greatest ids; a bucket holds the ids in (cut before, cut]
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = F.lit(len(cuts)) - _below(cuts, F.col("doc_id"))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(bucket)
     rows = rows.withColumns({"_bucket": bucket, "_order": order})
     firsts = {r["_bucket"]: r["first"] for r in rows.groupBy("_bucket").agg(F.max("_order").alias("first")).collect()}

@@ -5,8 +5,9 @@ words whose word sequence also starts in a document with a smaller id is
 removed; overlapping windows merge into maximal removal intervals, judged on
 the input alone.
 
-Documents are dealt to blocks by ranges of their id, so of two blocks the
-earlier has the smaller ids.  Each block hashes all its windows, keeps every
+Documents are dealt to blocks of about equal length by ranges of their id, so of
+two blocks the earlier has the smaller ids; an id that many rows repeat is dealt
+to several blocks, none of them smaller than the other.  Each block hashes all its windows, keeps every
 hash once, and sends its sorted hashes, as differences of six bytes, to the
 task that owns that range of hashes.  There the hashes of all blocks meet and
 are counted in block order, and each block gets back the hashes that an
@@ -23,13 +24,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.bpe import Memo
 from corvane.llm.common import session
@@ -113,20 +116,64 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Deal:
+    """How documents are dealt to blocks: by ranges of their ids, a range of one id alone to several blocks if it is long.
+
+    Range k holds the ids in (cut before, cut]; one more follows the last cut,
+    and the null ids come last.  ``first[k]`` is the first block of range k.
+    """
+
+    cuts: np.ndarray
+    first: np.ndarray
+    chars: int = 0
+
+    @classmethod
+    def of(cls, rows: DataFrame, block_chars: int, least: int) -> Deal:
+        """Ranges of about ``block_chars`` characters.  The driver gets a sum for each eighth of a block."""
+        total = rows.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+        n = 8 * max(least, -(-total // block_chars))
+        found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)).first()[0] or []
+        often = {v for v, k in Counter(found).items() if k > 1}  # an id of many rows gets a range of its own
+        fine = np.array(sorted({*found, *(v - 1 for v in often if v > -(1 << 63))}), np.int64)
+        sums = np.zeros(len(fine) + 2, np.int64)
+        for r in rows.groupBy(cls(fine, np.arange(len(fine) + 3)).block().alias("k")).agg(F.sum(F.length("text")).alias("chars")).collect():
+            sums[r["k"]] = r["chars"]
+        size = max(1, min(block_chars, total // least))
+        cuts, parts, held = [], [], 0
+        for k, cut in enumerate(fine.tolist()):
+            held += int(sums[k])
+            if held >= size or cut in often or cut + 1 in often:
+                cuts.append(cut)
+                parts.append(max(1, -(-held // size)) if cut in often else 1)
+                held = 0
+        parts += [1, max(1, -(-int(sums[-1]) // size))]
+        return cls(np.array(cuts, np.int64), np.concatenate([[0], np.cumsum(parts)]), total)
+
+    def block(self) -> Column:
+        """The block of a row with ``doc_id`` and ``text``; found by bisection, on eight bytes a row."""
+
+        @F.arrow_udf("int")
+        def found(ids: pa.Array, salt: pa.Array) -> pa.Array:
+            known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+            k = np.where(null, len(self.cuts) + 1, np.searchsorted(self.cuts, known, "left"))
+            n = self.first[k + 1] - self.first[k]
+            return pa.array(self.first[k] + salt.to_numpy(zero_copy_only=False) % n, pa.int32())
+
+        return found("doc_id", F.pmod(F.hash("text"), F.lit(1 << 20)))
+
+    def range_of(self, blocks: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, blocks, "right") - 1
+
+
+def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, n_words, n_removed, removed`` (intervals of word positions), ``kept`` (text) of each row."""
     spark = session(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     least = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_blocks = max(least, -(-chars // BLOCK_CHARS))
-    bits = max(least, chars // 6 // RANGE_WINDOWS).bit_length()  # 2**bits ranges of hashes
-    found = rows.agg(F.percentile_approx("doc_id", [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)).first()[0] or []
-    cuts = np.array(sorted(set(found)), np.int64)
-    literal = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    # block k: ids in (cut before, cut]; the last block also has the null ids
-    block = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(literal, lambda c: c < F.col("doc_id"))))
-    blocks = rows.withColumn("block", block)
+    deal = Deal.of(rows, block_chars, least)
+    bits = max(least, deal.chars // 6 // RANGE_WINDOWS).bit_length()  # 2**bits ranges of hashes
+    blocks = rows.withColumn("block", deal.block())
 
     def hashed(key: tuple, table: pa.Table) -> pa.Table:
         distinct = Block(table, window).distinct
@@ -143,8 +190,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id",
         whose = np.repeat(np.array([numbers[i] for i in order], np.int32), list(map(len, parts)))
         by = np.argsort(joined, kind="stable")
         joined, whose = joined[by], whose[by]
-        again = np.zeros(len(by), bool)
-        again[1:] = joined[1:] == joined[:-1]
+        # the first of equal hashes is in the earliest block; blocks of one range hold one id, none before the other
+        new = np.ones(len(by), bool)
+        new[1:] = joined[1:] != joined[:-1]
+        ranges = deal.range_of(whose)
+        again = ranges > ranges[new][np.cumsum(new) - 1] if len(by) else ~new
         joined, whose = joined[again], whose[again]
         by = np.argsort(whose, kind="stable")
         joined, whose = joined[by], whose[by]
