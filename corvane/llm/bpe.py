@@ -1,36 +1,44 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a linked list.  Every adjacent pair that the
+The bytes of pre-tokens form linked lists.  Every adjacent pair that the
 vocabulary can merge is put into the bucket of its merge rank; a two-level
 bitmap marks the buckets that are not empty, so that find-first-set names the
-next rank in constant time however long the pre-token is.  Entries whose pair
+next rank in constant time however long a pre-token is.  Entries whose pair
 has changed since are stale and are skipped when met.  A pre-token of n bytes
 costs O(n log n) at worst (the log orders equal ranks by position), against
 O(n^2) for repeated scans.
 
+One queue serves all unknown pre-tokens of a batch: pre-tokens do not touch each
+other, so taking the lowest rank of all keeps the order of merges in each.  A
+bucket that many pre-tokens share is merged by array operations, each one's
+leftmost entry at a time; any other is merged entry by entry.
+
 Texts are cut into pre-tokens by the vocabulary's pattern; results are kept per
 worker in bounded memos, as words repeat.  Null texts count as empty; an empty
-text has no ids.  Extra columns are ignored; repeated rows give repeated rows.
+text has no ids; an empty table gives an empty result.  Extra columns are
+ignored; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import base64
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corvane.llm.common import session
+from corvane.llm.common import gathered, session
 
 #: Entries of each memo in a worker; a full memo starts anew.
 MEMO = 300_000
+#: A bucket of at least so many entries is merged by array operations, if they lie in as many pre-tokens.
+SHARED = 24
+#: Bytes of text that are encoded together.
+GATHER = 4 << 20
 
 
 class Memo(dict):
@@ -59,10 +67,19 @@ class Memo(dict):
     def __missing__(self, key):
         if (value := self.aside.get(key)) is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.half:
             self.aside = dict(self)
             self.clear()
         self[key] = value
+
+    def find(self, key):
+        """The value of ``key`` if it is held, else None."""
+        if (value := self.get(key)) is None and (value := self.aside.get(key)) is not None:
+            self.put(key, value)
         return value
 
 
@@ -78,86 +95,149 @@ class ByteBPE:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.leaves = [0] * 1024  # the rank bitmap; all zero between calls
+        # every pair of tokens that makes a token, as first << 18 | second, sorted, with the rank of what it makes
+        keys, made = [], []
+        for piece, rank in self.ranks.items():
+            for k in range(1, len(piece)):
+                if (x := self.ranks.get(piece[:k])) is not None and (y := self.ranks.get(piece[k:])) is not None:
+                    keys.append(x << 18 | y)
+                    made.append(rank)
+        by = np.argsort(np.array(keys or [-1], np.int64), kind="stable")
+        self.pairs, self.made = np.array(keys or [-1], np.int64)[by], np.array(made or [-1], np.int32)[by]
+        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.findall = regex.compile(pattern).findall
-        self.tokens = Memo(self._token, MEMO * 5 // 3)
-        self.chunks = Memo(self._chunk)
+        self.tokens, self.chunks = Memo(lambda token: self.merge([token.encode()])[0]), {}
+
+    def _rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The merge ranks of pairs of tokens; -1 for none."""
+        key = first.astype(np.int64) << 18 | second
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], np.int32(-1))
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token; one that is a token itself is not merged."""
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = iter(self._merge([p for p, r in zip(pieces, whole, strict=True) if r is None]))
+        return [next(rest) if r is None else r.to_bytes(4, "little") for r in whole]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token.
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token from its single bytes on.
 
-        The queue is written out here, as a call for each of its steps would
-        cost more than the step: ``leaves`` has a bit for each rank and ``top``
-        one for each leaf that is not empty; a bucket is one position, or a
-        heap of several.
+        ``leaves`` has a bit for each rank and ``top`` one for each leaf that is
+        not empty; a bucket is a list of positions.
         """
-        rank_of, n = self.ranks.get, len(piece)
-        if (whole := rank_of(piece)) is not None:
-            return [whole]
-        leaves, top, buckets = self.leaves, 0, {}
-        after = list(range(1, n + 1))  # where the token that starts here ends, and the next one starts
-        before = list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank under which the pair that starts here is queued
-        fresh = [(i, rank) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
-        while True:
-            for i, rank in fresh:
-                waiting[i] = rank
+        data, rank_of, leaves, top = b"".join(pieces), self.ranks.get, self.leaves, 0
+        n = len(data)
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lens)
+        whole = np.repeat(ends, lens).astype(np.int32)  # where each position's pre-token ends
+        ids = self.bytes[np.frombuffer(data, np.uint8)]
+        after = np.arange(1, n + 1, dtype=np.int32)  # where the token that starts here ends, and the next one starts
+        before = np.arange(-1, n - 1, dtype=np.int32)
+        before[(ends - lens)[lens > 0]] = -1
+        waiting = np.full(n + 1, -1, np.int32)  # the rank under which the pair that starts here is queued
+        starts = np.ones(n, bool)
+        ids_, after_, before_, waiting_, whole_, starts_ = map(memoryview, (ids, after, before, waiting, whole, starts))
+        buckets: dict[int, list[int]] = {}
+
+        def push(at: np.ndarray, ranks: np.ndarray) -> None:
+            nonlocal top
+            if not len(at):
+                return
+            waiting[at] = ranks
+            by = np.argsort(ranks, kind="stable")
+            at, ranks = at[by], ranks[by]
+            edges = np.flatnonzero(np.diff(ranks, prepend=-1))
+            flat = at.tolist()
+            for rank, a, b in zip(ranks[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(flat)], strict=True):
                 if (bucket := buckets.get(rank)) is None:
-                    buckets[rank] = i
-                    leaf = rank >> 8
-                    if not (bits := leaves[leaf]):
-                        top |= 1 << leaf
-                    leaves[leaf] = bits | 1 << (rank & 255)
-                elif type(bucket) is int:
-                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                    buckets[rank] = flat[a:b]
+                    leaves[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
                 else:
-                    heappush(bucket, i)
-            if not top:
-                break
+                    bucket += flat[a:b]
+
+        if n:
+            ranks = self._rank(ids[:-1], ids[1:])
+            ranks[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)] - 1] = -1
+            at = np.flatnonzero(ranks >= 0)
+            push(at.astype(np.int32), ranks[at])
+        while top:
             leaf = (top & -top).bit_length() - 1  # find-first-set, twice
             bits = leaves[leaf]
             low = bits & -bits
             rank = leaf << 8 | low.bit_length() - 1
-            if type(bucket := buckets[rank]) is int or len(bucket) == 1:
-                i = bucket if type(bucket) is int else bucket[0]
+            bucket = buckets[rank]
+            if len(bucket) >= SHARED:
+                at = np.array(bucket, np.int32)
+                at = np.unique(at[waiting[at] == rank])  # without the stale
+                first = np.ones(len(at), bool)
+                first[1:] = whole[at[1:]] != whole[at[:-1]]
+                if 2 * np.count_nonzero(first) > len(at):
+                    if len(rest := at[~first]):
+                        buckets[rank] = rest.tolist()
+                    else:
+                        del buckets[rank]
+                        leaves[leaf] = bits ^ low
+                        if bits == low:
+                            top ^= 1 << leaf
+                    i = at[first]
+                    j = after[i]
+                    end = after[j]
+                    after[i], ids[i], starts[j] = end, rank, False
+                    waiting[i] = waiting[j] = -1
+                    right = end < whole[i]
+                    before[end[right]] = i[right]
+                    left = before[i] >= 0
+                    x, y = np.concatenate([i[right], before[i[left]]]), np.concatenate([end[right], i[left]])
+                    ranks = self._rank(ids[x], ids[y])
+                    waiting[x] = -1
+                    push(x[ranks >= 0], ranks[ranks >= 0])
+                    continue
+            bucket.sort(reverse=True)
+            lower = False
+            while bucket and not lower:
+                i = bucket.pop()
+                if waiting_[i] != rank:
+                    continue  # stale: this pair has changed since
+                j = after_[i]
+                end = after_[i] = after_[j]
+                ids_[i], starts_[j], waiting_[j], waiting_[i] = rank, False, -1, -1
+                fresh = ()
+                if end < whole_[i]:
+                    before_[end] = i
+                    if (r := rank_of(data[i : after_[end]])) is not None:
+                        fresh = ((i, r),)
+                if (j := before_[i]) >= 0:
+                    if (r := rank_of(data[j:end])) is None:
+                        waiting_[j] = -1
+                    else:
+                        fresh += ((j, r),)
+                for k, r in fresh:
+                    waiting_[k] = r
+                    if (other := buckets.get(r)) is None:
+                        buckets[r] = [k]
+                        leaves[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
+                    else:
+                        other.append(k)
+                    lower = lower or r < rank
+            if not bucket:
                 del buckets[rank]
-                leaves[leaf] = bits = bits ^ low
+                leaves[leaf] = bits = leaves[leaf] ^ low
                 if not bits:
                     top ^= 1 << leaf
-            else:
-                i = heappop(bucket)
-            fresh = []
-            if waiting[i] != rank:
-                continue  # stale: this pair has changed since
-            j = after[i]
-            end = after[i] = after[j]
-            waiting[j] = waiting[i] = -1
-            if end < n:
-                before[end] = i
-                if (rank := rank_of(piece[i : after[end]])) is not None:
-                    fresh.append((i, rank))
-            if (j := before[i]) >= 0:
-                if (rank := rank_of(piece[j:end])) is None:
-                    waiting[j] = -1
-                elif waiting[j] != rank:
-                    fresh.append((j, rank))
-        ids, i, ranks = [], 0, self.ranks
-        while i < n:
-            ids.append(ranks[piece[i : (i := after[i])]])
-        return ids
-
-    def _token(self, token: str) -> bytes:
-        ids = array("I", self.merge(token.encode()))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk between spaces; without a line break at its start, a space stood before it."""
-        text = chunk if chunk[:1] == "\n" else f" {chunk}"
-        return b"".join(map(self.tokens.__getitem__, self.findall(text)))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as packed little-endian unsigned 32-bit integers.
+        packed = ids[starts].astype("<u4").tobytes()
+        counts = np.concatenate([[0], np.cumsum(starts)])[ends]
+        cuts = (4 * counts).tolist()
+        return [packed[a:b] for a, b in pairwise([0, *cuts])]
+
+    def _cut(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk between spaces; without a line break at its start, a space stood before it."""
+        return self.findall(chunk if chunk[:1] == "\n" else f" {chunk}")
+
+    def _parts(self, text: str) -> tuple[list[str], list[str]]:
+        """A text's pre-tokens and the chunks that follow them.
 
         Single white-space characters between words separate pre-tokens
         whatever stands around them, so such texts are cut there and chunks
@@ -165,9 +245,31 @@ class ByteBPE:
         """
         words = text.split()
         if not words or sum(map(len, words)) + len(words) - 1 != len(text):
-            return b"".join(map(self.tokens.__getitem__, self.findall(text)))
+            return self.findall(text), []
         first, *rest = text.replace("\n", " \n").split(" ")
-        return b"".join(map(self.tokens.__getitem__, self.findall(first))) + b"".join(map(self.chunks.__getitem__, rest))
+        return self.findall(first), rest
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed little-endian unsigned 32-bit integers; unknown pre-tokens are merged together.
+
+        Chunks are kept from one call to the next, pre-tokens for longer.
+        """
+        parts = list(map(self._parts, texts))
+        chunks = set().union(*(rest for _, rest in parts))
+        found = {c: self.chunks[c] for c in chunks & self.chunks.keys()}
+        cuts = {c: self._cut(c) for c in chunks if c not in found}
+        held = dict.fromkeys(set().union(*(tokens for tokens, _ in parts), *cuts.values()))
+        for token in held:
+            held[token] = self.tokens.find(token)
+        new = [t for t, ids in held.items() if ids is None]
+        for token, ids in zip(new, self.merge([t.encode() for t in new]), strict=True):
+            held[token] = ids
+            self.tokens.put(token, ids)
+        of = held.__getitem__
+        for chunk, tokens in cuts.items():
+            found[chunk] = b"".join(map(of, tokens))
+        self.chunks = found
+        return [b"".join(map(of, tokens)) + b"".join(map(found.__getitem__, rest)) for tokens, rest in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -195,15 +297,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
         out = out.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one = codec(vocabulary, pattern).encode
-        Memo.only(codec(vocabulary, pattern).tokens, codec(vocabulary, pattern).chunks)
-        for batch in batches:
-            ids = [encode_one(x.as_py()) for x in batch.column(1)]
+        one = codec(vocabulary, pattern)
+        Memo.only(one.tokens)
+        for batch in gathered(batches, 1, GATHER):
+            ids = one.encode(batch.column(1).to_pylist())
             n = [len(x) >> 2 for x in ids]
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
             if with_decoded:
-                columns.append(pa.array(list(map(codec(vocabulary, pattern).decode, ids)), pa.binary()))
+                columns.append(pa.array(list(map(one.decode, ids)), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
+        one.chunks = {}
 
     return rows.mapInArrow(run, out)
 

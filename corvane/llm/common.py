@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,6 +35,19 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` (strings) has ``size`` bytes; the session's bound keeps each of them small."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 

@@ -73,7 +73,20 @@ def test_bpe_random_strings():
     codec, rng = bpe.codec(*VOCABULARY), random.Random(7)
     frame = pd.DataFrame({"doc_id": range(2000), "text": ["".join(rng.choice("ab th\n\t ,.'é\x1c\x8512\U0001f600") for _ in range(rng.randrange(25))) for _ in range(2000)]})
     want = brute.op1(frame)
-    assert [brute.sha(codec.encode(t)) for t in frame.text] == list(want.ids_sha256)
+    assert list(map(brute.sha, codec.encode(list(frame.text)))) == list(want.ids_sha256)
+    assert [brute.sha(codec.encode([t])[0]) for t in frame.text[:200]] == list(want.ids_sha256[:200])
+
+
+def test_bpe_merges(monkeypatch):
+    """Array and single merges agree with the library on pre-tokens that share buckets, and on very long ones."""
+    codec, rng = bpe.ByteBPE(*VOCABULARY), random.Random(12)
+    words = ["".join(rng.choice("abcdeinrst") for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    words += ["a" * 5000, "ab" * 3000, "the" * 2000, "".join(rng.choice("ab") for _ in range(4000)), ""]
+    want = brute.op1(pd.DataFrame({"doc_id": range(len(words)), "text": words}))
+    for shared in (2, 24, 1 << 30):
+        monkeypatch.setattr(bpe, "SHARED", shared)
+        assert list(map(brute.sha, codec.merge([w.encode() for w in words]))) == list(want.ids_sha256)
+        assert not any(codec.leaves)
 
 
 def test_mix(table, empty, spark):
