@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -242,3 +243,34 @@ def sanitised(text: str, spans: str) -> str:
             out.append(f"[{o[1].upper()}]")
         done = None if o is None else o[0]
     return "".join(out)
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """Hashed one- to three-character grams of a lower-cased text: square roots of their counts, of unit length."""
+    codes, counts, wrap = list(map(ord, text.lower())), np.zeros(size), 0xFFFFFFFF
+    for i, c in enumerate(codes):
+        one = c * 0x9E3779B1 & wrap
+        counts[one >> 20] += 1
+        if i + 1 < len(codes):
+            two = (one ^ (codes[i + 1] + 0x7F4A7C15)) * 0x85EBCA6B & wrap
+            counts[two >> 20] += 1
+            if i + 2 < len(codes):
+                counts[((two ^ (codes[i + 2] + 0x165667B1)) * 0xC2B2AE35 & wrap) >> 20] += 1
+    return np.sqrt(counts) / max(np.sqrt(counts.sum()), 1e-12)
+
+
+def language(text: str | None, model) -> tuple[str, float]:
+    """Family by the greatest margin, then the language that wins most pairs; how clear both were."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    x = np.append(grams(text, model.family_weights.shape[1] - 1), 1.0)
+    squash = lambda m: 1 / (1 + np.exp(-2 * m))
+    margins = sorted(((float(w @ x), k) for k, w in enumerate(model.family_weights)), reverse=True)
+    names = model.families[margins[0][1]]
+    sure = squash(margins[0][0] - margins[1][0]) if len(margins) > 1 else 1.0
+    if len(names) == 1:
+        return names[0], sure
+    against = lambda a, b: float(model.pairs[a, b] @ x) if (a, b) in model.pairs else -float(model.pairs[b, a] @ x)
+    beaten = {a: [against(a, b) for b in names if b != a] for a in names}
+    best = max(names, key=lambda a: (sum(m >= 0 for m in beaten[a]), min(beaten[a]), a))
+    return best, sure * squash(2 * min(beaten[best]))
