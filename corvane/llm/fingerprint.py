@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.llm.common import materialize, semi
+from corvane.llm.common import BROADCAST_BYTES, materialize, semi
 
 
 #: Characters of a bucket of :func:`with_next` on average, at most.
@@ -107,14 +107,15 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     bucket = F.lit(len(cuts)) - _below(cuts, F.col("doc_id"))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(bucket)
     rows = rows.withColumns({"_bucket": bucket, "_order": order})
-    firsts = {r["_bucket"]: r["first"] for r in rows.groupBy("_bucket").agg(F.max("_order").alias("first")).collect()}
-    full = sorted(firsts)
-    before = {firsts[b]: full[k - 1] for k, b in enumerate(full)}  # the bucket that ends where this one starts; the last for the first
-    tails = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,int>")
+    # the bucket that ends where this one starts also gets this one's first document; the last gets the very first
+    firsts = rows.groupBy("_bucket").agg(F.max("_order").alias("_first"))
+    ends_here = F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy()))
+    tails = materialize(firsts.select("_first", ends_here.alias("_into")), "bucket-ends")  # a row for each bucket
+    if (len(cuts) + 1) * 32 <= BROADCAST_BYTES:
+        tails = F.broadcast(tails)
     # of rows that share the first id, the one with the least hash comes first everywhere
     rows = rows.withColumn("_tie", F.xxhash64("text"))
-    copies = rows.where(F.col("_order").isin(*before)) if before else rows.where(F.lit(False))
-    copies = copies.withColumn("_bucket", tails[F.col("_order")])
+    copies = rows.join(tails, F.col("_order") == F.col("_first")).withColumn("_bucket", F.col("_into")).drop("_first", "_into")
     both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
     ring = Window.partitionBy("_bucket").orderBy("_copy", F.col("_order").desc(), "_tie")
     return both.withColumns({"next_id": F.lead("doc_id").over(ring), "next_text": F.lead("text").over(ring)}).where("_copy = 0").select("doc_id", "text", "next_id", "next_text")

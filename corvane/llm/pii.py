@@ -14,8 +14,8 @@ A term is a run of letters and digits, lower-cased; words that touch a base
 span count, but are not marked again.  Null texts count as empty and have
 no spans; rows that repeat an id count as one document in the statistics and
 each get their own spans; a null id takes part in no statistics, but its row is
-marked by its own entities; extra columns are kept by :func:`sanitise`; an
-empty table gives an empty result.
+marked by its own entities; very long texts are read and counted whole; extra
+columns are kept by :func:`sanitise`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ adding the kept counts: no piece is ever built.
 
 A word is a maximal run without ASCII white space, with ``prefix`` before it;
 a word that greedy matching cannot cover is one unknown token.  Null texts
-count as empty and have zero words; extra columns are ignored; repeated rows
-give repeated rows.
+count as empty and have zero words; very long texts are counted whole; null and
+repeated ids are carried as they are; an empty table gives an empty result;
+extra columns are ignored; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
