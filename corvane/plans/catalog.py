@@ -372,7 +372,7 @@ def filename_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RAW = "[" + ", ".join("'" + r.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for r in rel.RESPONSES) + "]"
-_PARSED = rf"""raws AS (SELECT CAST(doc_id // 10 AS BIGINT) AS transcript_id, {_DIMS}[CAST(doc_id % 5 + 1 AS INTEGER)] AS dimension, CAST((doc_id % 10) // 5 AS INTEGER) AS batch_no, {_RAW}[CAST(doc_id % {len(rel.RESPONSES)} + 1 AS INTEGER)] AS raw,
+_PARSED = rf"""raws AS (SELECT CAST(doc_id // 10 AS BIGINT) AS transcript_id, {_DIMS}[CAST(doc_id % 5 + 1 AS INTEGER)] AS dimension, CAST((doc_id % 10) // 5 AS INTEGER) AS batch_no, replace(replace({_RAW}[CAST(doc_id % {len(rel.RESPONSES)} + 1 AS INTEGER)], '@n', CAST(coalesce(length(text), 0) % 12 AS VARCHAR)), '@w', coalesce(regexp_extract(text, '[a-z]+'), '')) AS raw,
     CASE WHEN doc_id % 4 <> 0 THEN doc_id % 100 END AS prompt_tokens, CASE WHEN doc_id % 4 = 1 THEN 7 END AS completion_tokens, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 100 + 7 END AS total_tokens FROM documents),
   cleaned AS (SELECT *, regexp_replace(regexp_replace(raw, '(?s)<think>.*?</think>\s*', ''), '^\s+|\s+$', '', 'g') AS c FROM raws),
   js AS (SELECT * EXCLUDE (c), CASE WHEN json_valid(c) THEN c WHEN json_valid(regexp_replace(regexp_replace(c, '^```[^\n]*\n', ''), '```$', '')) THEN regexp_replace(regexp_replace(c, '^```[^\n]*\n', ''), '```$', '') END AS j FROM cleaned),

@@ -60,23 +60,26 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("transcript_id").agg(F.transform(ordered, lambda c: c["t"]).alias("chunks"))
 
 
+#: Forms of a response; ``@n`` is a number and ``@w`` a word of the document.
 RESPONSES = (
-    '{"s": 5, "supporting_quotes": ["a", "b"]}',
-    '```json\n{"s": 7.5, "supporting_quotes": ["c"]}\n```',
-    '<think>so\nso</think>\n {"s": 15, "supporting_quotes": ["d", "e", "f", "g"]}',
-    "no JSON at all",
-    '{"s": -3, "supporting_quotes": []}',
-    '{"s": "7", "supporting_quotes": ["h"]}',
+    '{"s": @n, "supporting_quotes": ["@w", "b"]}',
+    '```json\n{"s": @n.5, "supporting_quotes": ["@w"]}\n```',
+    '<think>so\nso</think>\n {"s": 1@n, "supporting_quotes": ["d", "@w", "f", "g"]}',
+    "no JSON at all but @w",
+    '{"s": -@n, "supporting_quotes": []}',
+    '{"s": "@n", "supporting_quotes": ["h"]}',
     '{"s": true}',
-    '{"s": 2.5, "supporting_quotes": ["i"]}',
-    '{"s": 6} and more',
+    '{"s": @n.5, "supporting_quotes": ["@w"]}',
+    '{"s": @n} and more',
 )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``transcript_id, dimension, batch_no, raw`` and token counts: a recorded response for each document."""
-    docs = read(spark, sf_dir, "documents").select("doc_id")
-    raw = F.element_at(F.array(*map(F.lit, RESPONSES)), (F.col("doc_id") % len(RESPONSES) + 1).cast("int"))
+    """``transcript_id, dimension, batch_no, raw`` and token counts: a response for each document, in a form by its id, about its text."""
+    docs = documents(spark, sf_dir)
+    form = F.element_at(F.array(*map(F.lit, RESPONSES)), (F.col("doc_id") % len(RESPONSES) + 1).cast("int"))
+    number = (F.coalesce(F.length("text"), F.lit(0)) % 12).cast("string")
+    raw = F.replace(F.replace(form, F.lit("@n"), number), F.lit("@w"), F.coalesce(F.regexp_extract("text", "[a-z]+", 0), F.lit("")))
     return docs.select(
         F.floor(F.col("doc_id") / 10).cast("long").alias("transcript_id"),
         F.element_at(F.array(*map(F.lit, DIMENSIONS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("dimension"),
