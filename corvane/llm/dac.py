@@ -123,7 +123,7 @@ class WordEncoder:
     kept; any other word goes through the library as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -165,20 +165,28 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    session(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The ``doc_id`` column of each batch and each row's ids."""
+    one = encoder(vocabulary)
+    Memo.only(one.memo, one.pieces)
+    end = np.array([] if end_id is None else [end_id], "<u4")
+    for batch in batches:
+        yield batch.column(0), [np.concatenate([np.frombuffer(one(x.as_py()), one.width), end]).astype("<u4") for x in batch.column(1)]
+
+
 def encode(docs: DataFrame, vocabulary: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (binary: little-endian unsigned 32-bit), with ``end_id`` after each document's own."""
-    session(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(vocabulary)
-        Memo.only(one.memo, one.pieces)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [np.frombuffer(one(x.as_py()), one.width).astype("<u4").tobytes() + end for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for doc, ids in _encoded(batches, vocabulary, end_id):
+            yield pa.RecordBatch.from_arrays([doc, pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
@@ -195,18 +203,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int | None = 1
     cuts = np.array(sorted(set(ids.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 80 * n)).first()[0] or [])), np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column(0)
+        for doc, ids in _encoded(batches, vocabulary, end_id):
             # range k: ids in (cut before, cut]; null ids come first
             part = np.where(np.asarray(doc.is_null()), -1, np.searchsorted(cuts, np.asarray(doc.fill_null(0)), "left"))
-            out = []
-            for x in batch.column(1):
-                own = np.frombuffer(x.as_py(), "<u4")
-                wide = len(own) and int(own.max()) >= 1 << 16
-                out.append(b"\4" + own.tobytes() if wide else b"\2" + own.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(out, pa.binary())], names=["part", "doc_id", "packed"])
+            packed = [b"\4" + x.tobytes() if len(x) and x.max() >= 1 << 16 else b"\2" + x.astype("<u2").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(packed, pa.binary())], names=["part", "doc_id", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only()  # this worker may have encoded before
         at, segment, docs, parts, held = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -228,8 +232,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int | None = 1
         if docs:
             yield close()
 
-    encoded = encode(docs, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
-    dealt = encoded.mapInArrow(placed, "part int, doc_id long, packed binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    dealt = _texts(docs, id_col, text_col).mapInArrow(placed, "part int, doc_id long, packed binary").repartition(n, "part").sortWithinPartitions("part", "doc_id")
     dealt.mapInArrow(run, _SEGMENT).write.parquet(path)
 
 
@@ -251,6 +254,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.schema(_SEGMENT).parquet(path).select("part", "segment", "doc_ids", "no_ids", "doc_lens", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.only()
         for batch in batches:
             for row in range(batch.num_rows):
                 part, segment, doc_ids, no_ids, doc_lens, codes = (c[row].as_py() for c in batch.columns)
