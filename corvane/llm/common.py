@@ -64,13 +64,30 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+#: Scratch tables of this driver that still exist, in the order they were made.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
+    """A new path in the shared folder, deleted when the driver's Python ends, or by :func:`forget`."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     atexit.register(_delete, spark, path)
     return path
 
 
+def made() -> int:
+    """How many scratch tables there are: a mark for :func:`forget`."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch tables made since ``mark`` but the last, for a caller that has written all it needs into that one."""
+    for path in _MADE[mark:-1]:
+        _delete(spark, path)
+    del _MADE[mark:-1]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

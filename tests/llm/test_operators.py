@@ -150,7 +150,7 @@ def test_minhash_near_threshold_group(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(minhash, "materialize", counted)
-    monkeypatch.setattr(minhash, "TILE", 256)
+    monkeypatch.setattr(minhash, "TILE", 640)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     same(got, brute.op3(pd.DataFrame(rows, columns=["doc_id", "text"])))
     n = len(rows)
@@ -173,6 +173,22 @@ def test_substring(table, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_blocks(spark):
+    """Small blocks, and an id that many rows repeat, change nothing."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(i, f"{' '.join(rng.choice('abcdefgh') for _ in range(12))} {passage if i % 3 else 'x'} end {i}") for i in range(60)]
+    rows += [(30, f"{passage} row {k} {passage}") for k in range(200)] + [(None, f"{passage} none {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("doc_id", "n_words", "n_removed", "kept")
+    small, large = (sorted(map(tuple, substring.remove_repeats(docs, block_chars=n).select(*columns).collect()), key=str) for n in (300, 1 << 30))
+    assert small == large
+    assert {(d, n) for d, _, n, _ in small if d in (None, 1, 30)} == {(None, 15), (1, 0), (30, 30), (30, 0)}
+    plain = pd.DataFrame(rows[:60], columns=["doc_id", "text"])
+    got = substring.remove_repeats(spark.createDataFrame(rows[:60], "doc_id long, text string"), block_chars=200)
+    same(got.select("doc_id", "n_words", "n_removed"), brute.op4(plain)[["doc_id", "n_words", "n_removed"]])
+
+
 def test_packed_hashes():
     x = np.unique(np.array([0, 5, 1 << 50, 1 << 63, (1 << 64) - 1], np.uint64))
     assert (substring.unpack(substring.pack(x)) == x).all()
@@ -216,6 +232,16 @@ def test_embeddings(spark):
     assert embed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_groups(spark, monkeypatch):
+    """Small groups, and coordinates that many vectors share."""
+    monkeypatch.setattr(embed, "GROUP", 24)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(0, 3, 6)], 0) for i in range(240)] + [(500 + i, [1.0, 0.0, 0.0, 0.0, float(i), 0.0], 0) for i in range(60)]
+    rows = [r for r in rows if any(r[1])]
+    frame = pd.DataFrame(rows, columns=["vec_id", "embedding", "label"])
+    same(embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.95), brute.op6(frame, 0.95))
+
+
 def test_language(spark, empty):
     from pyspark.sql import functions as F
 
@@ -356,20 +382,14 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
+    """The stages in a row; of the tables written on the way one is left."""
     import corpus_pipeline
+    from corvane.llm.common import made
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plain = docs.toPandas()
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        if name != "byte_bpe":
-            assert out.columns == docs.columns
-        if name == "minhash_dedup":
-            want = brute.op3(plain)
-            assert sorted(r["doc_id"] for r in out.collect()) == sorted(want[want.kept].doc_id)
-        docs = corpus_pipeline.materialize(out, name)
-    assert docs.count() > 0
+    mark = made()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
+    assert made() == mark + 1
 
 
 def test_pipeline_rows(spark):
