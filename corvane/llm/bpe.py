@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corvane.llm.common import gathered, session
+from corvane.llm.common import gathered, session, uncollected
 
 #: Entries of each memo in a worker; a full memo starts anew.
 MEMO = 300_000
@@ -300,7 +300,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
         one = codec(vocabulary, pattern)
         Memo.only(one.tokens)
         for batch in gathered(batches, 1, GATHER):
-            ids = one.encode(batch.column(1).to_pylist())
+            with uncollected():
+                ids = one.encode(batch.column(1).to_pylist())
             n = [len(x) >> 2 for x in ids]
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
             if with_decoded:

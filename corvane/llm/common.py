@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -35,6 +37,18 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's search for cycles: code that makes many objects and no cycles spends much of its time in it."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Batches joined until ``column`` (strings) has ``size`` bytes; the session's bound keeps each of them small."""
     held, n = [], 0

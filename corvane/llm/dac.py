@@ -28,13 +28,15 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import BROADCAST_BYTES, materialize, session
+from corvane.llm.common import BROADCAST_BYTES, gathered, materialize, session, uncollected
 
 SEGMENT_IDS = 1 << 20
 DIRECTORY = 512
@@ -106,24 +108,27 @@ class DirectCodes:
         return out
 
 
-# A pattern of pre-tokens, and what it cuts from lower-case Latin-1 text without apostrophes.
+# A pattern of pre-tokens, and what it cuts from lines of lower-case Latin-1 words without apostrophes.
 _CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾ ]+")
+_LATIN = re.compile(r"\n|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_LATIN_WORD = re.compile(r"[!-&(-~¡-¬®-ÿ]+")
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others in order from 256 on.
-_SPELL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_SPELL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 10}
+#: Bytes of text that are encoded together.
+GATHER = 4 << 20
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, with bounded memos of words and pre-tokens.
+    """Ids of whole texts by the tokenizers library, with what it gave for words and pre-tokens kept for a while.
 
     The vocabulary must treat ASCII white space as a mere separator, as one
     that drops white space before its merges does: then a text's ids are its
-    words' ids in turn.  Where the vocabulary's own rules cut a Latin-1 word as
-    ``_LATIN`` does, its pre-tokens go to the library's model one by one and are
-    kept; any other word goes through the library as a whole.
+    words' ids in turn.  Where the vocabulary's own rules cut Latin-1 words as
+    ``_LATIN`` does, their pre-tokens go to the library's model one by one; any
+    other word goes through the library as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -133,8 +138,8 @@ class WordEncoder:
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         parts = json.loads(self.tokenizer.to_str())
-        self.model = self.tokenizer.model if self._cuts_alike(parts["normalizer"], parts["pre_tokenizer"]) else None
-        self.memo, self.pieces = Memo(self._encode, limit), Memo(self._piece, limit)
+        self.latin = self._cuts_alike(parts["normalizer"], parts["pre_tokenizer"])
+        self.model, self.words, self.pieces = self.tokenizer.model, {}, Memo(lambda piece: self._tokenize([piece])[0], limit)
 
     @staticmethod
     def _cuts_alike(normalizer: dict | None, pre: dict | None) -> bool:
@@ -144,20 +149,61 @@ class WordEncoder:
         spelt = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
         return bool(steps == ["NFC", "Replace", "Lowercase"] and plain and spelt)
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(_SPELL)
-        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
-
-    def _encode(self, word: bytes) -> bytes:
-        text = word.decode()
-        low = text.lower()
-        if self.model is None or "'" in low or not low.isprintable() or max(text) > "ÿ" or self.special(low):
-            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, _LATIN.findall(low)))
-
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split()))
+    def _tokenize(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each pre-token, spelt as the model has it."""
+        other = [p for p in pieces if not p.isascii()]
+        respelt = iter("\n".join(other).encode().decode("latin-1").translate(_SPELL).split("\n"))
+        spelt = [p if p.isascii() else next(respelt) for p in pieces]
+        return [array(self.kind, [t.id for t in self.model.tokenize(p)]).tobytes() for p in spelt]
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, texts: list[str]) -> list[bytes]:
+        """Ids of each word; the simple ones are cut together, a line each."""
+        simple = [self.latin and _LATIN_WORD.fullmatch(t) is not None for t in texts]
+        lines = "\n".join(compress(texts, simple)).lower()
+        if self.special(lines):
+            return list(map(self._whole, texts))
+        cut = _LATIN.findall(lines + "\n")
+        held = dict.fromkeys(cut)
+        del held["\n"]
+        for piece in held:
+            held[piece] = self.pieces.find(piece)
+        new = [piece for piece, ids in held.items() if ids is None]
+        for piece, ids in zip(new, self._tokenize(new), strict=True):
+            held[piece] = ids
+            self.pieces.put(piece, ids)
+        done, open_ = [], []
+        for piece in cut:
+            if piece == "\n":
+                done.append(b"".join(open_))
+                open_ = []
+            else:
+                open_.append(held[piece])
+        rest = iter(done)
+        return [next(rest) if ok else self._whole(t) for t, ok in zip(texts, simple, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (strings, none null).  Words are kept from one call to the next, pre-tokens for longer."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = {w: self.words[w] for w in words if w in self.words}
+        new = [w for w in words if w not in found]
+        found.update(zip(new, self._learn(new), strict=True))
+        self.words = found
+        # the ids of all distinct words in a row, and from them those of each word in turn
+        own = [found[w] for w in words]
+        table = np.frombuffer(b"".join(own), self.width)
+        lens = np.fromiter(map(len, own), np.int64, len(own)) // self.width.itemsize
+        starts = np.cumsum(lens) - lens
+        at = coded.indices.to_numpy()
+        n = lens[at]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return np.split(ids, cuts[1:-1]) if len(texts) else []
 
 
 @lru_cache(maxsize=2)
@@ -167,16 +213,19 @@ def encoder(path: str) -> WordEncoder:
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     session(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """The ``doc_id`` column of each batch and each row's ids."""
     one = encoder(vocabulary)
-    Memo.only(one.memo, one.pieces)
+    Memo.only(one.pieces)
     end = np.array([] if end_id is None else [end_id], "<u4")
-    for batch in batches:
-        yield batch.column(0), [np.concatenate([np.frombuffer(one(x.as_py()), one.width), end]).astype("<u4") for x in batch.column(1)]
+    for batch in gathered(batches, 1, GATHER):
+        with uncollected():
+            ids = [np.concatenate([x, end]).astype("<u4") for x in one.encode(batch.column(1))]
+        yield batch.column(0), ids
+    one.words = {}
 
 
 def encode(docs: DataFrame, vocabulary: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from corvane.llm import bpe, dac, embed, fingerprint, langid, minhash, mix, pii, substring, wordpiece
@@ -285,10 +286,14 @@ def test_word_encoder_random_strings():
     from tokenizers import Tokenizer
 
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
-    whole, words = Tokenizer.from_file(path), dac.encoder(path)
-    for _ in range(3000):
-        text = "".join(rng.choice(["a", "B", "th", "'s", "'", "é", "e\u0301", "İ", "K", "1", "22", ".", "##", " ", "\n", "\xa0", "\x1c", "ß", "ÀÉ", "µ²½", "\xad", "©»", "Σ", "日本", "\U0001f600", "<|endoftext|>", "<|StartOfText|>"]) for _ in range(rng.randrange(20)))
-        assert np.frombuffer(words(text.encode()), words.width).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    whole, encoder = Tokenizer.from_file(path), dac.encoder(path)
+    alphabet = ["a", "B", "th", "'s", "'", "é", "e\u0301", "İ", "K", "1", "22", ".", "##", " ", "\n", "\xa0", "\x1c", "\x85", "ß", "ÀÉ", "µ²½", "\xad", "©»", "Σ", "日本", "\U0001f600"]
+    for more in ([], ["<|endoftext|>", "<|StartOfText|>"]):
+        texts = ["".join(rng.choice(alphabet + more) for _ in range(rng.randrange(20))) for _ in range(3000)]
+        for size in (1, 500):
+            for at in range(0, len(texts), size):
+                for text, ids in zip(texts[at : at + size], encoder.encode(pa.array(texts[at : at + size], pa.string())), strict=True):
+                    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_direct_codes():
