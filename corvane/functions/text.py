@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 from corvane.sources.schemas import CHUNK_WORDS, CONTEXT_CHARS, PAGE_BREAK
 
 _SPACE = r"[\s\x1c-\x1f]"
+#: The same characters one by one.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Lines that match one of these, from their start, are boilerplate.
 BOILERPLATE = (
@@ -59,7 +61,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def word_count(text: Column) -> Column:
