@@ -136,7 +136,7 @@ def test_minhash_near_threshold_group(spark, monkeypatch):
     rng = random.Random(11)
     base = [f"w{k}" for k in range(120)]
     rows = []
-    for i in range(1200):
+    for i in range(1001):
         copy = list(base)
         for _ in range(rng.choice((3, 3, 4, 4, 5))):
             copy[rng.randrange(120)] = f"e{i}x{rng.randrange(1000)}"
