@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from corvane.sources.schemas import CHUNK_WORDS, CONTEXT_CHARS, PAGE_BREAK
+from corvane.sources.schemas import CHUNK_WORDS, PAGE_BREAK
 
 _SPACE = r"[\s\x1c-\x1f]"
 #: The same characters one by one.
@@ -162,29 +162,6 @@ def qa_chunks(chunk_list: Column) -> Column:
     return F.when(at >= 0, F.slice(chunk_list, at + 1, F.greatest(F.size(chunk_list), F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
-def phrase_pattern(phrase: str) -> str:
-    return rf"(?idU)\Q{phrase}\E"
-
-
-def phrase_contexts(text: Column, phrase: str, reach: int = CONTEXT_CHARS) -> Column:
-    """What stands around each hit of ``phrase``, ``reach`` characters either way, on one line, stripped."""
-    n = len(phrase)
-    lens = F.transform(F.split(text, phrase_pattern(phrase), -1), lambda p: F.length(p))
-
-    def step(state: Column, size: Column) -> Column:
-        at = state["at"] + size
-        return F.struct(F.concat(state["starts"], F.array(at)).alias("starts"), (at + n).alias("at"))
-
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
-    starts = F.aggregate(F.slice(lens, F.lit(1), F.size(lens) - 1), zero, step)["starts"]
-
-    def around(start: Column) -> Column:
-        low = F.greatest(start - reach, F.lit(0))
-        return strip(F.translate(F.substr(text, low + 1, F.least(start + n + reach, F.length(text)) - low), "\n", " "))
-
-    return F.transform(starts, around)
-
-
 def strip_thinking(raw: Column) -> Column:
     return strip(F.regexp_replace(raw, rf"(?sU)<think>.*?</think>{_SPACE}*", ""))
 

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corvane.functions import responses, text as X
-from corvane.operators import store
+from corvane.functions import phrases as P, responses, text as X
+from corvane.operators import calling, packing, store
+from corvane.operators.calling import NO_QUESTIONS, NOT_CONFIGURED, Ledger, Scorer, with_retry
 from corvane.session import ship
-from corvane.sources.schemas import BACKOFF_CAP, BATCH_WORDS, DIMENSIONS, FIRST_BACKOFF, RETRIES, SCORES, TRANSCRIPTS
-
-#: A scorer takes (system prompt, user prompt, model) and returns the raw response and three token counts, or only the response.
-Scorer = Callable[[str, str, str], "str | tuple[str, int | None, int | None, int | None]"]
+from corvane.sources.schemas import BATCH_WORDS, DIMENSIONS, LOGGED_CHARS, SCORES
 
 RUBRICS: dict[str, str] = {
     "evasiveness": "Judge how directly management answers analysts' questions: 1 to 3 direct, 4 to 6 partly indirect, 7 to 9 mostly deflecting, 10 no answer at all.",
@@ -33,30 +31,34 @@ def system_prompt(dimension: str) -> str:
 def phrase_counts(chunks: DataFrame, phrases: Sequence[str] = X.DODGE_PHRASES, text_col: str = "chunk_text") -> DataFrame:
     """``pos, phrase, hits`` over all chunks, most frequent first, ties by the phrases' order.
 
-    One pass: a sum for each phrase, partially aggregated, so phrases never multiply the rows.
+    Each text is scanned once for all phrases; what it counts is summed before it
+    is shuffled, so a phrase is a row for each task at most.
     """
-    sums = [F.sum(F.coalesce(F.regexp_count(F.col(text_col), F.lit(X.phrase_pattern(p))), F.lit(0))).alias(f"p{i}") for i, p in enumerate(phrases)]
-    one = chunks.agg(*sums)
-    listed = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(p).alias("phrase"), F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("long").alias("hits")) for i, p in enumerate(phrases)])
-    return one.select(F.explode(listed).alias("f")).select("f.*").orderBy(F.desc("hits"), "pos")
+    ship(chunks.sparkSession)
+    found = chunks.select(F.explode(P.counts(F.col(text_col), phrases)).alias("f")).groupBy("f.pos").agg(F.sum("f.n").alias("hits"))
+    summed = found.agg(F.map_from_entries(F.collect_list(F.struct("pos", "hits"))).alias("hits"))  # as many as there are phrases
+    listed = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(p).alias("phrase"), F.coalesce(F.col("hits")[i + 1], F.lit(0)).cast("long").alias("hits")) for i, p in enumerate(phrases)])
+    return summed.select(F.explode(listed).alias("f")).select("f.*").orderBy(F.desc("hits"), "pos")
 
 
 def phrase_hits(chunks: DataFrame, phrases: Sequence[str] = X.DODGE_PHRASES, text_col: str = "chunk_text") -> DataFrame:
-    """The columns of ``chunks`` but its text, with ``pos, phrase, hit_no, context`` of each hit; chunks without any go early."""
-    per = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(p).alias("phrase"), X.phrase_contexts(F.col(text_col), p).alias("contexts")) for i, p in enumerate(phrases)])
-    some = chunks.where(F.col(text_col).rlike("(?idU)" + "|".join(rf"\Q{p}\E" for p in phrases)))
+    """The columns of ``chunks`` but its text, with ``pos, phrase, hit_no, context`` of each hit, found in one scan of each text."""
+    ship(chunks.sparkSession)
     rest = [c for c in chunks.columns if c != text_col]
-    found = some.select(*rest, F.explode(per).alias("f")).select(*rest, "f.pos", "f.phrase", F.posexplode("f.contexts").alias("hit_no", "context"))
-    return found
+    found = chunks.select(*rest, F.explode(P.contexts(F.col(text_col), phrases)).alias("f"))
+    return found.select(*rest, "f.pos", F.element_at(F.array(*map(F.lit, phrases)), F.col("f.pos")).alias("phrase"), "f.hit_no", "f.context")
 
 
 def keyword_result(transcripts: DataFrame, phrases: Sequence[str] = X.DODGE_PHRASES, chunks_col: str = "chunks") -> DataFrame:
     """Add ``total_count`` and ``frequency`` (array of phrase and n, most frequent first) of the question part."""
+    ship(transcripts.sparkSession)
     joined = F.array_join(X.qa_chunks(F.col(chunks_col)), "\u0000")
-    counts = F.array(*[F.struct((-F.regexp_count(joined, F.lit(X.phrase_pattern(p)))).alias("less"), F.lit(i).alias("pos"), F.lit(p).alias("phrase")) for i, p in enumerate(phrases)])
-    found = F.filter(F.array_sort(counts), lambda f: f["less"] < 0)
-    frequency = F.transform(found, lambda f: F.struct(f["phrase"].alias("phrase"), (-f["less"]).alias("n")))
-    return transcripts.withColumn("frequency", frequency).withColumn("total_count", F.aggregate("frequency", F.lit(0), lambda a, f: a + f["n"]))
+    found = F.array_sort(F.transform(P.counts(joined, phrases), lambda c: F.struct((-c["n"]).alias("less"), c["pos"].alias("pos"))))
+    listed = F.array(*map(F.lit, phrases))
+    counted = transcripts.withColumn("_found", found)
+    frequency = F.transform("_found", lambda f: F.struct(F.element_at(listed, f["pos"]).alias("phrase"), (-f["less"]).alias("n")))
+    total = F.aggregate("_found", F.lit(0), lambda a, f: a - f["less"])
+    return counted.withColumns({"frequency": frequency, "total_count": total}).drop("_found")
 
 
 def top_phrases(chunks: DataFrame, phrases: Sequence[str] = X.DODGE_PHRASES, text_col: str = "chunk_text", *, n: int = 10) -> DataFrame:
@@ -85,64 +87,48 @@ def requests(assembled: DataFrame, dimensions: Sequence[str] = DIMENSIONS, targe
     return batches.select("transcript_id", "dimension", "batch_no", F.when(F.col("asked"), text).alias("prompt"))
 
 
-def call_with_retry(scorer: Scorer, system: str, user: str, model: str, *, sleep: Callable[[float], None] = time.sleep):
-    """Up to five attempts with doubling pauses, only for errors that look like a rate limit."""
-    pause = FIRST_BACKOFF
-    for attempt in range(RETRIES):
-        try:
-            return scorer(system, user, model)
-        except Exception as error:
-            limited = any(mark in str(error) for mark in ("413", "rate_limit", "429"))
-            if not limited or attempt == RETRIES - 1:
-                raise
-            sleep(pause)
-            pause = min(2 * pause, BACKOFF_CAP)
+def question_rows(chunks: DataFrame) -> DataFrame:
+    """The rows of each transcript's question part: its first chunk with an opener, and what follows."""
+    opener = F.col("chunk_text").rlike(f"(?idU){X.QA_OPENER}")
+    first = chunks.where(opener).groupBy("transcript_id").agg(F.min("chunk_index").alias("_first"))
+    return chunks.join(first, "transcript_id").where(F.col("chunk_index") >= F.col("_first")).drop("_first")
 
 
-CALLED = "transcript_id long, dimension string, batch_no int, raw string, prompt_tokens long, completion_tokens long, total_tokens long, error string, latency double"
+def requests_by_rows(chunks: DataFrame, dimensions: Sequence[str] = DIMENSIONS, target: int = BATCH_WORDS) -> DataFrame:
+    """As :func:`requests`, from rows ``transcript_id, chunk_index, chunk_text``: a transcript of any length, whose chunks never meet in one row."""
+    chunks = chunks.select("transcript_id", "chunk_index", "chunk_text")
+    others = F.array(*[F.lit(d) for d in dimensions if d != "evasiveness"]).cast("array<string>")
+    text = X.prompt(F.lit("Score the following call."), F.col("batch"))
+    found = packing.batches(chunks, target=target).select("transcript_id", F.explode(others).alias("dimension"), "batch_no", text.alias("prompt"))
+    if "evasiveness" not in dimensions:
+        return found
+    asked = question_rows(chunks)
+    own = packing.batches(asked, target=target).select("transcript_id", F.lit("evasiveness").alias("dimension"), "batch_no", text.alias("prompt"))
+    without = chunks.select("transcript_id").distinct().join(asked.select("transcript_id").distinct(), "transcript_id", "left_anti")
+    none = without.select("transcript_id", F.lit("evasiveness").alias("dimension"), F.lit(0).alias("batch_no"), F.lit(None).cast("string").alias("prompt"))
+    return found.unionByName(own).unionByName(none)
 
 
-NO_QUESTIONS, NOT_CONFIGURED = "No Q&A section found", "LLM not configured"
+def call_with_retry(scorer: Scorer, system: str, user: str, model: str, *, sleep: Callable[[float], None] = time.sleep):
+    return with_retry(lambda: scorer(system, user, model), sleep=sleep)
 
 
-def call_model(calls: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, model: str = "offline") -> DataFrame:
-    """The responses to ``calls``; what brings none is a row with ``error`` rather than a failed job.
+def call_model(calls: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, model: str = "offline", **options) -> DataFrame:
+    """The responses to ``calls``, a row for each; ``options`` are those of :func:`corvane.operators.calling.call_model`."""
+    return calling.call_model(calls, scorers, system_prompt, model, **options)
 
-    That is a failed or exhausted call, a row without a prompt, which makes no
-    call, and every row where no scorer is configured (``None``, or a mapping
-    without the dimension).
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                scorer, began = scorers if scorers is None or callable(scorers) else scorers.get(r.dimension), time.time()
-                got, error = (None, None, None, None), None
-                if r.prompt is None:
-                    error = NO_QUESTIONS
-                elif scorer is None:
-                    error = NOT_CONFIGURED
-                else:
-                    try:
-                        got = call_with_retry(scorer, system_prompt(r.dimension), r.prompt, model)
-                    except Exception as e:  # the error is the result
-                        error = str(e)
-                raw, *usage = got if isinstance(got, tuple) else (got, None, None, None)
-                out.append((r.transcript_id, r.dimension, r.batch_no, raw, *usage, error, time.time() - began))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLED.split(", ")])
-
-    ship(calls.sparkSession)
-    return calls.select("transcript_id", "dimension", "batch_no", "prompt").mapInPandas(run, CALLED)
-
-
-def score(assembled: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", dimensions: Sequence[str] = DIMENSIONS, phrases: Sequence[str] = X.DODGE_PHRASES) -> DataFrame:
+def score(
+    assembled: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline",
+    dimensions: Sequence[str] = DIMENSIONS, phrases: Sequence[str] = X.DODGE_PHRASES, **options,
+) -> DataFrame:
     """A row for every transcript and dimension; a failed call leaves its dimension without a score.
 
-    Every request is sent once.  ``model`` reaches the scorer.  ``total_count`` is
-    the question part's phrase count beside evasiveness: 0 without such a part.
+    Every request is sent once.  ``model`` and ``options`` (temperature, token
+    limit, rate limits, ledger) reach the calls.  ``total_count`` is the question
+    part's phrase count beside evasiveness: 0 without such a part.
     """
-    called = call_model(requests(assembled, dimensions), scorers, model)
+    called = call_model(requests(assembled, dimensions), scorers, model, **options)
     parsed = called.withColumn("p", responses.parse(F.col("raw"), F.concat("dimension", F.lit("_score")))).select("*", "p.score", "p.quotes").drop("p")
     done = responses.combine(parsed, ["transcript_id", "dimension"])
     counts = keyword_result(assembled, phrases).select("transcript_id", "total_count")
@@ -150,31 +136,87 @@ def score(assembled: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, *
     return done.withColumns({"model_name": F.lit(model), "prompt_version": F.concat("dimension", F.lit("-v1"))})
 
 
-def score_and_store(spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", company: str | None = None, year: int | None = None, skip_existing: bool = False) -> DataFrame:
+def unparsed(results: DataFrame) -> DataFrame:
+    """``transcript_id, dimension, raw_start``: responses that gave no score, their first characters, for a log."""
+    bad = results.where(F.col("score").isNull() & (F.coalesce("raw_response", F.lit("")) != ""))
+    return bad.select("transcript_id", "dimension", F.substring("raw_response", 1, LOGGED_CHARS).alias("raw_start"))
+
+
+def _run(spark: SparkSession, paths: store.Paths, assembled: DataFrame, scorers, resume: str | None, **options) -> DataFrame:
+    """Score, and keep the results in the run's own folder; its ledger goes once they are there.
+
+    ``resume`` names a run that died: what it had answered is not asked again.
+    """
+    run = resume or uuid.uuid4().hex
+    calls, kept = f"{paths.calls}/{run}", f"{paths.results}/run={run}"
+    results = score(assembled, scorers, ledger=Ledger(calls), **options)
+    results.write.mode("overwrite").parquet(kept)
+    store.delete(spark, calls)
+    return spark.read.schema(results.schema).parquet(kept)
+
+
+def _stamped(results: DataFrame) -> DataFrame:
+    return results.withColumn("scored_at", F.current_timestamp()).withColumn("raw_llm_response", F.coalesce("raw_response", F.lit("")))
+
+
+def score_and_store(
+    spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, company: str | None = None,
+    year: int | None = None, skip_existing: bool = False, resume: str | None = None, **options,
+) -> DataFrame:
     """Score the stored transcripts and keep what comes back; returns the run's results.
 
     Scores that are there are upserted, and every dimension that was asked for
-    leaves its raw response as an audit row.  The results are written once, so
-    storing them calls no model again.
+    leaves its raw response as an audit row.  The results are written once, into
+    the run's folder of the table of results, so storing them calls no model again.
     """
-    transcripts = store.restrict(store.table(spark, paths.transcripts, TRANSCRIPTS), company, None, year)
+    transcripts = store.restrict(store.transcripts(spark, paths.transcripts), company, None, year)
     assembled = store.assemble(transcripts)
     if skip_existing:
         done = store.fully_scored(store.table(spark, paths.scores, SCORES), transcripts)
         assembled = assembled.join(done.select(*store.KEY), list(store.KEY), "left_anti")
-    results = store.stage(score(assembled, scorers, model=model), paths.scores)
-    stamped = results.withColumn("scored_at", F.current_timestamp()).withColumn("raw_llm_response", F.coalesce("raw_response", F.lit("")))
+    results = _run(spark, paths, assembled, scorers, resume, **options)
+    stamped = _stamped(results)
     store.upsert_scores(spark, paths.scores, stamped.where("score is not null"))
     store.append_runs(paths.runs, stamped.where(~F.col("error").isin(NO_QUESTIONS, NOT_CONFIGURED) | F.col("error").isNull()))
     return results
 
 
-def validate(spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline", company: str | None = None, quarter: str | None = None, year: int | None = None) -> DataFrame:
+def evaluate(
+    spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, company: str | None = None,
+    quarter: str | None = None, year: int | None = None, dimension: str = "evasiveness", resume: str | None = None, **options,
+) -> DataFrame:
+    """One dimension of the transcripts that fit, with calls, tokens and latency; a score leaves an audit row, and no score is stored.
+
+    Returns the results with the transcripts' keys; :func:`metrics` sums them up.
+    """
+    assembled = store.assemble(store.restrict(store.transcripts(spark, paths.transcripts), company, quarter, year))
+    results = _run(spark, paths, assembled, scorers, resume, dimensions=(dimension,), **options)
+    store.append_runs(paths.runs, _stamped(results.where("score is not null")))
+    return results.join(assembled.select("transcript_id", *store.KEY), "transcript_id")
+
+
+def metrics(results: DataFrame) -> DataFrame:
+    """Calls attempted, tokens, calls without a score, and latency, over transcripts that have a question part; the average is null without calls."""
+    asked = results.where(F.col("error").isNull() | (F.col("error") != NO_QUESTIONS))
+    return asked.agg(
+        F.count("*").alias("calls"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+        F.count("total_tokens").alias("token_events"),
+        F.count_if(F.col("score").isNull()).alias("failures"),
+        F.coalesce(F.sum("latency"), F.lit(0.0)).alias("latency_sum"),
+        (F.sum("latency") / F.count("*")).alias("latency_avg"),
+    )
+
+
+def validate(
+    spark: SparkSession, paths: store.Paths, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline",
+    company: str | None = None, quarter: str | None = None, year: int | None = None, **options,
+) -> DataFrame:
     """All dimensions of the first transcript that fits; nothing is stored."""
-    transcripts = store.table(spark, paths.transcripts, TRANSCRIPTS)
+    transcripts = store.transcripts(spark, paths.transcripts)
     one = store.sample_transcript(transcripts, company, quarter, year)
     assembled = store.assemble(transcripts.join(F.broadcast(one), list(store.KEY), "left_semi"))  # one row
-    return score(assembled, scorers, model=model).join(F.broadcast(assembled.select("transcript_id", *store.KEY)), "transcript_id")
+    return score(assembled, scorers, model=model, **options).join(F.broadcast(assembled.select("transcript_id", *store.KEY)), "transcript_id")
 
 
 def dry_run(assembled: DataFrame, n_dimensions: int = len(DIMENSIONS)) -> DataFrame:

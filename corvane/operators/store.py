@@ -1,12 +1,22 @@
-"""The store: look-ups, replace-partition, append and upsert on Parquet."""
+"""The store: look-ups, versioned replacement, append and upsert on Parquet.
+
+Transcripts are kept as versions.  An ingest writes its chunks into a folder of
+its own and then commits, by one rename, which version each of its transcripts
+is at.  Readers follow the last commit of each transcript, so they see its old
+chunks or its new ones, whole; an ingest that dies before its commit leaves
+nothing that is read.  Chunk ids derive from the transcript's key and its whole
+text: the same text again keeps its scores, another text leaves them orphaned.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corvane.functions.text import word_count
 from corvane.sources.schemas import DIMENSIONS, SCORES, SCORING_RUNS, TRANSCRIPTS
@@ -18,15 +28,18 @@ BUCKETS = 64
 
 @dataclass(frozen=True)
 class Paths:
-    """Where the store's three tables are."""
+    """Where the store's tables are; ``results`` holds a folder for each scoring run, ``calls`` a run's responses while it lasts."""
 
     transcripts: str
     scores: str
     runs: str
+    results: str
+    calls: str
+    trends: str
 
     @classmethod
     def under(cls, folder: str) -> Paths:
-        return cls(*(f"{folder.rstrip('/')}/{name}" for name in ("transcripts", "scores", "scoring_runs")))
+        return cls(*(f"{folder.rstrip('/')}/{name}" for name in ("transcripts", "scores", "scoring_runs", "scoring_results", "scoring_calls", "trends")))
 
 
 def table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -37,6 +50,26 @@ def table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+VERSIONED = T.StructType([*TRANSCRIPTS.fields, T.StructField("version", T.StringType())])
+#: What a commit says of a transcript: its version, and how many chunks that has.
+POINTERS = T.StructType([*(TRANSCRIPTS[c] for c in KEY), T.StructField("version", T.StringType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("commit", T.LongType())])
+
+
+def latest_versions(spark: SparkSession, path: str) -> DataFrame:
+    """``company, quarter, year, version, n_chunks`` of each transcript, by its last commit."""
+    pointers = table(spark, f"{path}/commits", POINTERS)
+    return pointers.groupBy(*KEY).agg(F.max_by(F.struct("version", "n_chunks"), "commit").alias("v")).select(*KEY, "v.*")
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of every transcript as last committed.
+
+    The filters of a look-up reach both the pointers and the scan's folders.
+    """
+    data = table(spark, f"{path}/data", VERSIONED)
+    return data.join(latest_versions(spark, path), [*KEY, "version"], "left_semi").select(TRANSCRIPTS.fieldNames())
+
+
 def restrict(frame: DataFrame, company: str | None = None, quarter: str | None = None, year: int | None = None) -> DataFrame:
     """Equality filters; an empty value means no filter.  They reach the scan."""
     wanted = [F.col(c) == v for c, v in (("company", company and company.upper()), ("quarter", quarter), ("year", year)) if v]
@@ -53,9 +86,23 @@ def with_scores(scores: DataFrame, transcripts: DataFrame) -> DataFrame:
     return scores.join(keys, "transcript_id")
 
 
+def bucket_of(transcript_id: Column) -> Column:
+    """The folder of a transcript's scores."""
+    return F.pmod(F.xxhash64(transcript_id), F.lit(BUCKETS)).cast("int")
+
+
 def get_scores(scores: DataFrame, transcripts: DataFrame, company: str, quarter: str | None = None, year: int | None = None) -> DataFrame:
-    found = restrict(with_scores(scores, transcripts), company, quarter, year)
-    return found.select(*KEY, "dimension", "score", "supporting_quotes", "model_name", "scored_at").orderBy("year", "quarter", "dimension")
+    """The scores of the transcripts that fit, in order.
+
+    Scores name a transcript by its first chunk, so the wanted ids tell which
+    folders of the stored table to read: one for one transcript, at most ``BUCKETS``.
+    """
+    first = transcripts.where("chunk_index = 0") if "chunk_index" in transcripts.columns else transcripts
+    wanted = restrict(first, company, quarter, year)
+    if "bucket" in scores.columns:
+        folders = [r[0] for r in wanted.select(bucket_of(F.col("id"))).distinct().collect()]
+        scores = scores.where(F.col("bucket").isin(folders))
+    return with_scores(scores, wanted).select(*KEY, "dimension", "score", "supporting_quotes", "model_name", "scored_at").orderBy("year", "quarter", "dimension")
 
 
 def unique_transcripts(transcripts: DataFrame, company: str | None = None) -> DataFrame:
@@ -98,11 +145,15 @@ def stage(frame: DataFrame, beside: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete what :func:`stage` wrote, once nothing reads it any more."""
     for file in staged.inputFiles()[:1]:
-        at = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        at.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        delete(staged.sparkSession, file.rpartition("/")[0])
 
 
 def upsert_scores(spark: SparkSession, path: str, new: DataFrame) -> None:
@@ -111,51 +162,92 @@ def upsert_scores(spark: SparkSession, path: str, new: DataFrame) -> None:
     The table is dealt to ``BUCKETS`` folders by transcript; only those that
     ``new`` touches are read and written, each replaced when all are written.
     """
-    columns, bucket = SCORES.fieldNames(), F.pmod(F.xxhash64("transcript_id"), F.lit(BUCKETS)).cast("int")
-    staged = stage(new.select(*columns), path)
-    fresh = staged.withColumn("bucket", bucket)
-    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
-    if not touched:
-        return unstage(staged)
-    old = table(spark, path, T.StructType([*SCORES.fields, T.StructField("bucket", T.IntegerType())]))
-    both = old.where(F.col("bucket").isin(touched)).withColumn("write_seq", F.lit(0)).unionByName(fresh.withColumn("write_seq", F.lit(1)))
-    latest = latest_writes(both, order=("write_seq", "scored_at")).drop("write_seq")
-    latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    staged = stage(new.select(*SCORES.fieldNames()), path)
+    fresh = staged.withColumn("bucket", bucket_of(F.col("transcript_id")))
+
+    def latest(old: DataFrame) -> DataFrame:
+        both = old.withColumn("write_seq", F.lit(0)).unionByName(fresh.withColumn("write_seq", F.lit(1)))
+        return latest_writes(both, order=("write_seq", "scored_at")).drop("write_seq")
+
+    rewrite(spark, path, SCORES, fresh.select("bucket"), latest)
     unstage(staged)
 
 
+def rewrite(spark: SparkSession, path: str, schema: T.StructType, touched: DataFrame, renew: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the folders (column ``bucket``) that ``touched`` names by ``renew`` of their rows, when all are written."""
+    folders = [r[0] for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
+    if folders:
+        old = table(spark, path, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+        fresh = renew(old.where(F.col("bucket").isin(folders)))
+        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def append_runs(path: str, runs: DataFrame) -> None:
     runs.select(*SCORING_RUNS.fieldNames()).write.mode("append").parquet(path)
 
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
-    """``company, quarter, year, source_file, chunks`` to a row for each chunk; ids derive from the natural key."""
-    rows = documents.select(*KEY, "source_file", F.posexplode("chunks").alias("chunk_index", "chunk_text"))
-    number = F.xxhash64(*KEY, "chunk_index", "source_file")
+    """``company, quarter, year, source_file, chunks`` to a row for each chunk; ids derive from the key and the whole text."""
+    content = F.xxhash64(*KEY, "source_file", "chunks")
+    rows = documents.select(*KEY, "source_file", content.alias("content"), F.posexplode("chunks").alias("chunk_index", "chunk_text"))
     return rows.select(
-        number.alias("id"), *KEY, "chunk_index", "chunk_text", word_count(F.col("chunk_text")).alias("word_count"), "source_file", F.current_timestamp().alias("extracted_at")
+        F.xxhash64("content", "chunk_index").alias("id"), *KEY, "chunk_index", "chunk_text", word_count(F.col("chunk_text")).alias("word_count"), "source_file", F.current_timestamp().alias("extracted_at")
     ).select(TRANSCRIPTS.fieldNames())
 
 
+def commit(pointers: DataFrame, path: str) -> int:
+    """Make ``pointers`` (key, version, n_chunks) the last word on their transcripts, by one rename; returns the commit's number.
+
+    Two ingests at once get different numbers: who finds a number taken takes the next.
+    """
+    spark, jvm = pointers.sparkSession, pointers.sparkSession._jvm
+    place, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    staged, folder = place(f"{path}.staged/{uuid.uuid4().hex}"), place(f"{path}/commits")
+    pointers.select([f for f in POINTERS.fieldNames() if f != "commit"]).write.parquet(staged.toString())
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    taken = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("commit=")]
+    number = max(taken, default=0) + 1
+    while True:
+        try:
+            files.rename(staged, place(f"{path}/commits/commit={number}"), none)
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            number += 1
+
+
 def replace_transcripts(spark: SparkSession, path: str, documents: DataFrame) -> dict[str, int]:
-    """Replace the partitions of all transcripts in ``documents``; one without chunks clears its partition.
+    """Replace all transcripts in ``documents``; one without chunks is cleared.
 
     ``documents``, whose texts may come from extraction, are computed once.
     Returns the run's totals: documents, chunks and words.
     """
-    parts = ("company", "year", "quarter")
+    parts, version = ("company", "year", "quarter"), uuid.uuid4().hex
     documents = stage(documents.select(*KEY, "source_file", "chunks"), path)
-    rows = chunk_rows(documents)
-    # a partition is one transcript, so none is large
-    rows.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    try:
+        rows = chunk_rows(documents)
+        # a partition is one transcript, so none is large
+        rows.repartition(*parts).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", *parts).parquet(f"{path}/data")
+        sizes = documents.groupBy(*KEY).agg(F.sum(F.greatest(F.size("chunks"), F.lit(0))).cast("int").alias("n_chunks"))
+        commit(sizes.withColumn("version", F.lit(version)), path)
+        return ingest_totals(documents)
+    finally:
+        unstage(documents)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the chunks of versions that no transcript is at any more; for times without readers or ingests.  Returns how many went."""
+    parts, gone = ("version", "company", "year", "quarter"), 0
+    old = table(spark, f"{path}/data", VERSIONED).select(*parts).distinct().join(latest_versions(spark, path), [*KEY, "version"], "left_anti")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    empty = documents.where(F.size("chunks") <= 0).select(*parts).distinct()
-    for r in empty.toLocalIterator():  # partition names only, one at a time
-        fs.delete(hadoop(f"{path}/company={r['company']}/year={r['year']}/quarter={r['quarter']}"), True)
-    totals = ingest_totals(documents)
-    unstage(documents)
-    return totals
+    for r in old.toLocalIterator():  # partition names only, one at a time
+        gone += fs.delete(hadoop(f"{path}/data/" + "/".join(f"{c}={r[c]}" for c in parts)), True)
+    return gone
 
 
 def ingest_totals(documents: DataFrame) -> dict[str, int]:

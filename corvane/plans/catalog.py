@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Phrases that the given texts hold; the default list belongs to spoken calls.
-PHRASES = ("of the", "in the", "and the", "the of", "the")
+PHRASES = ("of the", "in the", "and the", "the of", "the", *X.DODGE_PHRASES)
 PACK_WORDS = 100
 
 
@@ -293,7 +293,7 @@ def question_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("transcript_id", X.qa_start(F.col("chunks")).alias("qa_start"), F.size(X.qa_chunks(F.col("chunks"))).alias("n_qa"))
 
 
-_LIST = "(VALUES " + ", ".join(f"({i + 1}, '{p}')" for i, p in enumerate(PHRASES)) + ") AS p(pos, phrase)"
+_LIST = "(VALUES " + ", ".join("({}, '{}')".format(i + 1, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + ") AS p(pos, phrase)"
 
 
 @query(f"SELECT pos, phrase, CAST(coalesce(sum(len(regexp_extract_all(text, '(?i)' || phrase))), 0) AS BIGINT) AS hits FROM {_LIST}, documents GROUP BY ALL")
@@ -302,7 +302,7 @@ def phrase_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH parts AS (SELECT doc_id, text, pos, phrase, list_transform(string_split(lower(text), phrase), lambda x: length(x)) AS lens FROM documents, {_LIST}),
+    f"""WITH parts AS (SELECT doc_id, text, pos, phrase, list_transform(string_split(lower(text), lower(phrase)), lambda x: length(x)) AS lens FROM documents, {_LIST}),
     hits AS (SELECT *, unnest(range(1, len(lens))) AS k FROM parts),
     starts AS (SELECT doc_id, text, pos, phrase, k - 1 AS hit_no, CAST(list_sum(lens[1:k]) + (k - 1) * length(phrase) AS BIGINT) AS s FROM hits)
     SELECT doc_id, CAST(pos AS INTEGER) AS pos, phrase, CAST(hit_no AS INTEGER) AS hit_no,
@@ -325,12 +325,12 @@ def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT pos, phrase, CAST(sum(len(regexp_extract_all(text, '(?i)' || phrase))) AS BIGINT) AS hits FROM {_LIST}, documents GROUP BY ALL HAVING hits > 0 ORDER BY hits DESC, pos LIMIT 3")
 def most_frequent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's most frequent phrases, three of the five listed."""
+    """The report's most frequent phrases, three of those listed."""
     return scoring.top_phrases(rel.documents(spark, sf_dir), PHRASES, "text", n=3)
 
 
 @query(
-    f"""WITH parts AS (SELECT conv_id, turn, text, pos, phrase, list_transform(string_split(lower(text), phrase), lambda x: length(x)) AS lens FROM conversations, {_LIST} WHERE text IS NOT NULL),
+    f"""WITH parts AS (SELECT conv_id, turn, text, pos, phrase, list_transform(string_split(lower(text), lower(phrase)), lambda x: length(x)) AS lens FROM conversations, {_LIST} WHERE text IS NOT NULL),
     hits AS (SELECT *, unnest(range(1, len(lens))) AS k FROM parts),
     starts AS (SELECT conv_id, turn, text, pos, phrase, k - 1 AS hit_no, CAST(list_sum(lens[1:k]) + (k - 1) * length(phrase) AS BIGINT) AS s FROM hits
       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos, k) <= 5)

@@ -12,6 +12,7 @@ from corvane.operators import store
 from corvane.session import ship
 from corvane.sources.schemas import CHUNK_WORDS, FILENAME, MIN_WORDS, PAGE_BREAK
 
+NAME_FORM, TOO_SHORT = "its name has another form", "it has too few words"
 #: An extractor turns a file's bytes into page texts.
 Extractor = Callable[[bytes], list[str]]
 
@@ -60,16 +61,43 @@ def split_rejects(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where("meta is not null"), named.where("meta is null").drop("meta")
 
 
-def transcripts(files: DataFrame, target: int = CHUNK_WORDS) -> DataFrame:
-    """``company, quarter, year, source_file, chunks`` of files with ``path, text``: one narrow stage, no shuffle."""
-    good, _ = split_rejects(files)
-    large = good.where(X.word_count(F.col("text")) >= MIN_WORDS)
-    return large.select("meta.*", F.element_at(F.split("path", "/"), -1).alias("source_file"), X.chunks(X.clean(F.col("text")), target).alias("chunks"))
+def read(files: DataFrame, target: int = CHUNK_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """``path, meta, source_file, n_words, chunks`` of files with ``path, text``, without chunks where a file is rejected: one narrow stage, no shuffle."""
+    words = X.word_count(F.col("text"))
+    made = F.when(F.col("meta").isNotNull() & (words >= min_words), X.chunks(X.clean(F.col("text")), target))
+    named = files.withColumn("meta", metadata(F.col("path")))
+    return named.select("path", "meta", F.element_at(F.split("path", "/"), -1).alias("source_file"), words.alias("n_words"), made.alias("chunks"))
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    return found.where("chunks is not null").select("meta.*", "source_file", "chunks")
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """``path, reason, n_words`` of the files that are no transcripts."""
+    reason = F.when(F.col("meta").isNull(), NAME_FORM).otherwise(TOO_SHORT)
+    return found.where("chunks is null").select("path", reason.alias("reason"), "n_words")
+
+
+def transcripts(files: DataFrame, target: int = CHUNK_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """``company, quarter, year, source_file, chunks`` of files with ``path, text``."""
+    return accepted(read(files, target, min_words))
+
 
+def ingest(spark: SparkSession, folder: str, path: str, extract: Extractor = plain_pages, *, rejects: str | None = None, target: int = CHUNK_WORDS, min_words: int = MIN_WORDS) -> dict[str, int]:
+    """Scan, clean, chunk, and replace the transcripts at ``path``; returns documents, chunks, words and rejected files.
 
-def ingest(spark: SparkSession, folder: str, path: str, extract: Extractor = plain_pages) -> dict[str, int]:
-    """Scan, clean, chunk, and replace the transcripts' partitions at ``path``; returns documents, chunks and words."""
-    return store.replace_transcripts(spark, path, transcripts(texts(scan(spark, folder), extract)))
+    Every rejected file is a row of the table ``rejects``.  Texts are extracted once.
+    """
+    found = store.stage(read(texts(scan(spark, folder), extract), target, min_words), path)
+    try:
+        totals = store.replace_transcripts(spark, path, accepted(found))
+        bad = rejected(found)
+        if rejects:
+            bad.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(rejects)
+        return totals | {"rejected": bad.count()}
+    finally:
+        store.unstage(found)
 
 
 def write_clean_texts(files: DataFrame, path: str) -> None:

@@ -16,7 +16,10 @@ MAX_QUOTES = 3
 CONTEXT_CHARS = 40
 IMPROVING_AT, DETERIORATING_AT = -1.5, 1.5
 RETRIES, FIRST_BACKOFF, BACKOFF_CAP = 5, 2.0, 60.0
+TEMPERATURE, MAX_TOKENS = 0.1, 800
+LOGGED_CHARS = 200
 
+# The tables' columns.
 TRANSCRIPTS = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -51,3 +54,12 @@ SCORES = T.StructType(
         T.StructField("raw_llm_response", T.StringType(), False),
     ]
 )
+#: Files that an ingest left out, and why.
+REJECTS = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("n_words", T.IntegerType()),
+        T.StructField("rejected_at", T.TimestampType()),
+    ]
+)

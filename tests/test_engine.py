@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from corvane.functions import responses, text as X
 from corvane.operators import reports, scoring, store, trends
 from corvane.plans import catalog
 from corvane.sources import files
-from corvane.sources.schemas import DIMENSIONS, SCORES, SCORING_RUNS, TRANSCRIPTS
+from corvane.sources.schemas import DIMENSIONS, SCORES, SCORING_RUNS
 from corvane.streaming.ingest import ingest_stream
 
 SF = "/root/testdata/sf0.001"
@@ -105,11 +107,31 @@ def test_chunks(spark):
         assert r["c"] == cases[r["text"]], r["text"]
 
 
+RESPONSES = {
+    '{"k": 15}': (10, []), '{"k": -3}': (1, []), '{"k": 2.5}': (2, []), '{"k": 3.5}': (4, []), '{"k": 4.5000001}': (5, []), '{"k": 1e1}': (10, []), '{"k": 123456789012345678901234567890123456789012}': (10, []),
+    # a boolean passes as a number, a string of digits does not
+    '{"k": true}': (1, []), '{"k": false}': (1, []), '{"k": "7"}': (None, None), '{"k": null}': (None, None), '{"k": [3]}': (None, None), '{"j": 3}': (None, None),
+    # what parses but cannot be rounded, sliced or asked for a key leaves no score
+    '{"k": NaN}': (None, None), '{"k": Infinity}': (None, None), '{"k": -Infinity}': (None, None), "[1]": (None, None), '[{"k": 1}]': (None, None), "3": (None, None), "null": (None, None),
+    '{"k": 5, "supporting_quotes": null}': (None, None), '{"k": 5, "supporting_quotes": "q"}': (None, None),
+    '{"k": 5, "supporting_quotes": ["a", "ä\\n\\u00e9", 3, true, "e"]}': (5, ["a", "ä\n\u00e9", "3"]),
+    # of a repeated key the last counts
+    '{"k": 2, "k": 8}': (8, []),
+    # strict: nothing may follow, however it closes brackets
+    '{"k": 1} tail': (None, None), '{"k": 1}] [{"k": 2}': (None, None), '{"k": 1}} {"k": 2': (None, None), '{"k": 1}, {"k": 2}': (None, None), '{"k": 1}, "w": {"k": 2}': (None, None),
+    "{'k': 1}": (None, None), "{k: 1}": (None, None), '{"k": 01}': (None, None), '{"k": 1,}': (None, None), '{"k": 1} // c': (None, None), "x": (None, None), "": (None, None), None: (None, None),
+    # fences and thinking
+    '```json\n{"k": 4, "supporting_quotes": ["a","b","c","d"]}\n```': (4, ["a", "b", "c"]), '```\n{"k": 4}': (4, []), '<think>{"k": 1}</think>\n {"k": 6}\n': (6, []),
+}
+
+
 def test_responses(spark):
-    raws = ['{"k": 15}', '{"k": -3}', '{"k": 2.5}', '{"k": 3.5}', '{"k": "7"}', '{"k": true}', "[1]", "x", '{"k": NaN}', '```json\n{"k": 4, "supporting_quotes": ["a","b","c","d"]}\n```', '{"k": 1} tail', None, '{"k": 5, "supporting_quotes": null}']
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").withColumn("p", responses.parse(F.col("raw"), F.lit("k"))).orderBy("i").collect()
-    assert [r["p"]["score"] for r in rows] == [10, 1, 2, 4, None, 1, None, None, None, 4, None, None, None]
-    assert rows[9]["p"]["quotes"] == ["a", "b", "c"]
+    frame = spark.createDataFrame(list(enumerate(RESPONSES)), "i int, raw string").withColumn("p", responses.parse(F.col("raw"), F.lit("k")))
+    assert "Python" not in frame._jdf.queryExecution().toString()
+    got = {r["raw"]: (r["p"]["score"], r["p"]["quotes"]) for r in frame.collect()}
+    assert got == RESPONSES
+    keyed = spark.createDataFrame([("a",), ("b",)], "k string").select("k", responses.parse(F.lit('{"a": 1, "b": 2}'), F.col("k"))["score"].alias("s"))
+    assert {r["k"]: r["s"] for r in keyed.collect()} == {"a": 1, "b": 2}
 
 
 def test_retry():
@@ -186,7 +208,7 @@ def test_score_and_store(spark, tmp_path):
     spark.catalog.refreshByPath(at.scores)
     assert sorted(r["model_name"] for r in store.table(spark, at.scores, SCORES).collect()) == ["m"] * 5 + ["m2"] * 4
     assert store.table(spark, at.runs, SCORING_RUNS).count() == 13
-    transcripts = store.table(spark, at.transcripts, TRANSCRIPTS)
+    transcripts = store.transcripts(spark, at.transcripts)
     looked = store.get_scores(store.table(spark, at.scores, SCORES), transcripts, "acme", "Q1", 2024).collect()
     assert [r["dimension"] for r in looked] == sorted(DIMENSIONS)
     checked = scoring.validate(spark, at, None, company="acme")
@@ -200,8 +222,7 @@ def test_store(spark, tmp_path):
 
     for chunks in (["a b", "c"], ["new one"], []):
         store.replace_transcripts(spark, path, docs(chunks))
-        spark.catalog.refreshByPath(path)
-        stored = store.table(spark, path, TRANSCRIPTS)
+        stored = store.transcripts(spark, path)
         assert [r["chunk_text"] for r in store.get_chunks(stored, "a").collect()] == chunks
     scores = f"{tmp_path}/scores"
     made = lambda n, value: spark.range(n).selectExpr("id transcript_id", "'evasiveness' dimension", f"{value} score", "array('q') supporting_quotes", "current_timestamp() scored_at", "'m' model_name", "'v' prompt_version", "'r' raw_llm_response")
@@ -234,15 +255,23 @@ def test_command_line(spark, tmp_path, capsys):
     run = lambda command, *more: cli.main([command, "--store", f"{tmp_path}/store", *more], spark)
     assert run("ingest", str(folder), "--log", f"{tmp_path}/log.txt")["documents"] == 2
     assert "bad name" in (tmp_path / "log.txt").read_text()
+    assert [r["reason"] for r in spark.read.parquet(f"{tmp_path}/store/rejects").collect()] == [files.NAME_FORM]
     scorer = ("--scorer", "corvane.plans.catalog:offline_scorer", "--model", "m")
     assert run("score", "--dry-run").collect()[0]["n_calls"] == 5
     assert run("score").where("score is null and error = 'LLM not configured'").count() == 10
     assert run("score", *scorer).where("score is not null").count() == 10
     assert run("score", "--dry-run", "--skip-existing").count() == 0
     assert run("evasiveness", "--company", "acme").collect()[0]["total_count"] > 0
+    runs_before = spark.read.parquet(f"{tmp_path}/store/scoring_runs").count()
+    scored = run("evasiveness", "--company", "acme", *scorer).collect()
+    assert len(scored) == 2 and all(r["score"] is not None and r["latency"] >= 0 for r in scored)
+    spark.catalog.refreshByPath(f"{tmp_path}/store/scoring_runs")
+    assert spark.read.parquet(f"{tmp_path}/store/scoring_runs").count() == runs_before + 2
     assert run("validate", "--year", "2024", *scorer).count() == 5
-    run("trend", "--company", "Acme", "--json", f"{tmp_path}/json")
-    assert spark.read.text(f"{tmp_path}/json/qoq_deltas").count() == 2
+    run("trend", "--company", "Acme", "--json", f"{tmp_path}/trends.json")
+    report = json.loads((tmp_path / "trends.json").read_text())
+    assert list(report) == ["qoq_deltas", "rolling_averages", "trend_labels", "biggest_drops"] and len(report["qoq_deltas"]) == 2
+    assert report["qoq_deltas"][0] == {"company": "ACME", "quarter": "Q1", "year": 2024} | {f"{d}_delta": None for d in DIMENSIONS}
     assert run("check").where("bad > 0").count() == 0
     assert "Evasiveness" in capsys.readouterr().out
 
@@ -256,8 +285,8 @@ def test_files_and_stream(spark, tmp_path):
 
     assert [r["path"].rsplit("/", 1)[1] for r in files.listing(files.scan(spark, str(folder))).collect()] == ["acme_Q2_2024.PDF", "bad name.pdf", "tiny_Q1_2024.pdf"]
     files.ingest(spark, str(folder), f"{tmp_path}/a")
-    rows = store.table(spark, f"{tmp_path}/a", TRANSCRIPTS).collect()
+    rows = store.transcripts(spark, f"{tmp_path}/a").collect()
     assert [(r["company"], r["quarter"], r["year"], r["word_count"]) for r in rows] == [("ACME", "Q2", 2024, 120)]
     ingest_stream(spark, str(folder), f"{tmp_path}/b", f"{tmp_path}/c").awaitTermination(120)
-    assert store.table(spark, f"{tmp_path}/b", TRANSCRIPTS).count() == 1
+    assert store.transcripts(spark, f"{tmp_path}/b").count() == 1
     assert len(DIMENSIONS) == 5
