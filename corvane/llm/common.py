@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared scratch tables and checked broadcasts."""
+"""Helpers shared by the operators: shared scratch tables and checked broadcasts, ranges."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from corvane.session import ship
 
@@ -78,28 +79,41 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-#: Scratch tables of this driver that still exist, in the order they were made.
-_MADE: list[str] = []
+class Scratch:
+    """The tables that one caller made, in order, so that it can drop them early and touch nobody else's."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends, or by :func:`forget`."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    atexit.register(_delete, spark, path)
-    return path
+    def drop_but_last(self) -> None:
+        """Delete all but the last, for a caller that has written all it needs into that one."""
+        for path in self.paths[:-1]:
+            _delete(self.spark, path)
+        del self.paths[:-1]
 
 
-def made() -> int:
-    """How many scratch tables there are: a mark for :func:`forget`."""
-    return len(_MADE)
+#: Whose tables are being made in this thread.
+_OWNER: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
-def forget(spark: SparkSession, mark: int) -> None:
-    """Delete the scratch tables made since ``mark`` but the last, for a caller that has written all it needs into that one."""
-    for path in _MADE[mark:-1]:
-        _delete(spark, path)
-    del _MADE[mark:-1]
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that this thread makes inside the block are the block's own."""
+    own = Scratch(spark)
+    before = _OWNER.set(own)
+    try:
+        yield own
+    finally:
+        _OWNER.reset(before)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends, or earlier by its owner."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if own := _OWNER.get():
+        own.paths.append(path)
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -146,3 +160,21 @@ def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     if keys.count() * 32 <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
     return df.join(keys, on, "left_anti")
+
+
+def range_cuts(values: DataFrame, size: int) -> list[Row]:
+    """``cut, weight, rows, own`` of consecutive ranges of ``value``, in order, which hold up to about ``size`` of ``weight`` each.
+
+    A range ends at its ``cut``, included.  A value of ``size`` or more is a range
+    of its ``own``.  Nulls are left out.  Values are summed, dealt by range and
+    summed on in each part, so the driver sees a row for each range and no more.
+    """
+    sums = values.where(F.col("value").isNotNull()).groupBy("value").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = sums.repartitionByRange(parts, "value").withColumns({"part": F.spark_partition_id(), "own": F.col("weight") >= size})
+    up_to = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum(F.col("own").cast("int")).over(up_to) - F.col("own").cast("int")
+    fill = F.floor((F.sum("weight").over(up_to) - F.lit(1)) / size)
+    ranges = placed.withColumns({"before": before, "fill": F.when(F.col("own"), F.lit(0)).otherwise(fill)}).groupBy("part", "before", "own", "fill")
+    found = ranges.agg(F.max("value").alias("cut"), F.sum("weight").alias("weight"), F.sum("n").alias("rows")).select("cut", "weight", "rows", "own")
+    return sorted(found.collect(), key=lambda r: r["cut"])

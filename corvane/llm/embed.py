@@ -23,14 +23,13 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import BROADCAST_BYTES, materialize, session
+from corvane.llm.common import BROADCAST_BYTES, materialize, range_cuts, session
 from corvane.llm.graph import components
 
 #: Vectors in a group at most (on average), and groups at least.
@@ -182,11 +181,11 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     at = materialize(classes.select("vector", "rep", "n").mapInArrow(placed, "vector array<double>, rep long, n long, lead array<double>"), "placed")
     total = at.count()
     groups = max(LEAST_GROUPS, -(-total // GROUP))
-    found = at.agg(F.percentile_approx(F.col("lead")[0], [i / groups for i in range(1, groups)], 100 * groups)).first()[0] or []
+    size = max(1, -(-total // groups))
+    found = range_cuts(at.select(F.col("lead")[0].alias("value"), F.lit(1).cast("long").alias("weight")), size)
     # a coordinate that many vectors share is a range of its own, dealt to several groups
-    often = {v: k for v, k in Counter(found).items() if k > 1}
-    cuts = np.array(sorted({*found, *(np.nextafter(v, -np.inf) for v in often)}))
-    first = np.concatenate([[0], np.cumsum([often.get(c, 0) + 1 for c in cuts.tolist()] + [1])]).astype(np.int64)
+    cuts = np.array([r["cut"] for r in found])
+    first = np.concatenate([[0], np.cumsum([-(-r["weight"] // size) if r["own"] else 1 for r in found] + [1])]).astype(np.int64)
 
     @F.arrow_udf("long")
     def group_of(lead: pa.Array, salt: pa.Array) -> pa.Array:

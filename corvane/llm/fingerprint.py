@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.llm.common import BROADCAST_BYTES, materialize, semi
+from corvane.llm.common import BROADCAST_BYTES, materialize, range_cuts, semi
 
 
 #: Characters of a bucket of :func:`with_next` on average, at most.
@@ -93,15 +93,16 @@ def _below(cuts: list[int], value: Column) -> Column:
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``doc_id, text, next_id, next_text``: each document beside the next by descending id, the first after the last.
 
-    Ids are dealt to ranges by their quantiles; every range also gets a copy of
+    Ids are dealt to ranges of about as many characters; every range also gets a copy of
     the next range's first document, so neighbours are found inside ranges and
     no task sees all rows.  The driver holds one id for each range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
-    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(found))
+    sizes = rows.select(F.col("doc_id").alias("value"), (F.length("text") + 1).cast("long").alias("weight"))
+    total = sizes.agg(F.sum("weight")).first()[0] or 0
+    n = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_CHARS)
+    cuts = [r["cut"] for r in range_cuts(sizes, max(1, -(-total // n)))][:-1]
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     # bucket 0 has the greatest ids; a bucket holds the ids in (cut before, cut]
     bucket = F.lit(len(cuts)) - _below(cuts, F.col("doc_id"))

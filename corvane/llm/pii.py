@@ -21,7 +21,6 @@ columns are kept by :func:`sanitise`; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -124,6 +123,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(key.alias("_key"), "doc_id", "text")
 
 
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def find_base(rows: DataFrame) -> DataFrame:
     """``_key, doc_id, spans`` (array of kind, start, end) and ``entities`` of each row."""
     session(rows.sparkSession)
@@ -137,91 +140,110 @@ def find_base(rows: DataFrame) -> DataFrame:
                 held.append(entities(text, own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(held, pa.list_(pa.int64()))], names=["_key", "doc_id", "spans", "entities"])
 
-    return rows.mapInArrow(run, f"{_KEY}, doc_id long, {_SPANS.format('spans')}, entities array<long>")
+    return rows.mapInArrow(run, f"{_KEY}, doc_id {_id_type(rows)}, {_SPANS.format('spans')}, entities array<long>")
 
 
 def attach(rows: DataFrame, side: DataFrame, column: str, how: str) -> DataFrame:
     """``rows`` joined by ``_key`` to ``side`` (one row a key, ``column`` an array), which is broadcast only if it is counted small."""
-    size = F.size(column) * 8 if dict(side.dtypes)[column] == "array<bigint>" else F.aggregate(column, F.lit(0), lambda a, x: a + 16 + F.length(x))
+    size = F.aggregate(column, F.lit(0), lambda a, x: a + 16 + F.length(x))
     if (side.agg(F.sum(32 + size)).first()[0] or 0) <= BROADCAST_BYTES:
         side = F.broadcast(side)
     return rows.join(side, "_key", how)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``entity, term, n``: parts of the numbers of rows that hold a term, under a null entity and under each of the row's ``entities``.
+def _flushed(sums: dict[str, list[int]]) -> pa.RecordBatch:
+    terms, values = list(sums), zip(*sums.values(), strict=True)
+    out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(v, pa.int64()) for v in values)], names=["term", "n", "x", "y"])
+    sums.clear()
+    return out
+
+
+def term_sums(rows: DataFrame) -> DataFrame:
+    """``term, n, x, y``: parts of the numbers of rows that hold a term, and of the exclusive sums of these rows' two marks.
 
     Each task sums its rows' distinct words before they are shuffled.
     """
 
-    def flush(pairs: dict[tuple[int | None, str], int]) -> Iterator[pa.RecordBatch]:
-        keys = list(pairs)
-        for k in range(0, len(keys), 20_000):
-            part = keys[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string()), pa.array([pairs[x] for x in part], pa.int64())], names=["entity", "term", "n"])
-        pairs.clear()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone: Counter[str] = Counter()
-        pairs: dict[tuple[int | None, str], int] = {}
+        sums: dict[str, list[int]] = {}
         for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words(text)
-                alone.update(own)
-                for e in held or ():
-                    for t in own:
-                        pairs[e, t] = pairs.get((e, t), 0) + 1
-                    if len(pairs) > SUMMED:
-                        yield from flush(pairs)
-                if len(alone) > SUMMED:
-                    yield from flush({(None, t): n for t, n in alone.items()})
-                    alone.clear()
-        yield from flush({(None, t): n for t, n in alone.items()})
-        yield from flush(pairs)
-
-    return rows.select("text", "entities").mapInArrow(run, "entity long, term string, n long")
+            for text, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for t in words(text):
+                    own = sums.get(t)
+                    if own is None:
+                        sums[t] = [1, x, y]
+                    else:
+                        own[0] += 1
+                        own[1] ^= x
+                        own[2] ^= y
+                if len(sums) > SUMMED:
+                    yield _flushed(sums)
+        if sums:
+            yield _flushed(sums)
+
+    return rows.select("text", "x", "y").mapInArrow(run, "term string, n long, x long, y long")
 
 
 def word_rows(rows: DataFrame) -> DataFrame:
-    """As :func:`word_counts`, but each document counts once though several rows repeat its id."""
+    """``_key, term``: a row for each distinct word of each document, whichever of the rows that repeat its id hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([list(words(text)) for text in batch.column(1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["_key", "words", "entities"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["_key", "words"])
+
+    lists = rows.select("_key", "text").mapInArrow(run, f"{_KEY}, words array<string>")
+    return lists.select("_key", F.explode("words").alias("term")).distinct()
+
 
-    lists = rows.select("_key", "text", "entities").mapInArrow(run, f"{_KEY}, words array<string>, entities array<long>")
-    under = F.concat(F.array(F.lit(None).cast("long")), F.coalesce("entities", F.array().cast("array<long>")))
-    terms = lists.select("_key", "entities", F.explode("words").alias("term")).select("_key", F.explode(under).alias("entity"), "term")
-    return terms.distinct().select("entity", "term", F.lit(1).cast("long").alias("n"))
+def _marks() -> list[F.Column]:
+    """Two hashes of a document's key.  Their exclusive sums tell sets of documents apart: two sets agree with odds of 2**-128."""
+    return [F.xxhash64(F.lit(seed), "_key.none", "_key.at").alias(name) for seed, name in ((1, "x"), (2, "y"))]
 
 
-def disclosing(rows: DataFrame, holders: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """``entity, term`` pairs whose normalised mutual information over whole documents reaches ``threshold``.
+def marks(rows: DataFrame, holders: DataFrame, *, threshold: float = 0.9, support: int = 3) -> DataFrame:
+    """``_key, terms``: the terms of each document whose normalised mutual information over whole documents with one of its entities reaches ``threshold``.
 
-    ``holders`` are the distinct ``_key, entity``.  An entity or a term in fewer
-    documents than ``support`` cannot share that many, so it goes before the join.
+    ``holders`` are the distinct ``_key, entity``.  Entities of the same documents
+    are one class, and so are terms: information depends on the documents alone.
+    With a documents that hold the rarer of two and b that hold the other among n,
+    it cannot pass log(n / b) / log(n / a), so classes meet only where b is at
+    most n ** (1 - threshold) * a ** threshold.  A document adds a row for each of
+    its words and each of its entities, and one for each pair of its classes that
+    meet, never one for each entity and word.
     """
-    rows, holders = rows.where("not _key.none"), holders.where("not _key.none")
-    of_entity = materialize(holders.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities")
-    held = semi(holders, of_entity.select("entity"), "entity").groupBy("_key").agg(F.collect_list("entity").alias("entities"))
-    held = materialize(held, "held")
-    ids = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    known = holders.where("not _key.none")
+    classes = known.select("entity", *_marks()).groupBy("entity").agg(F.count("*").alias("en"), F.bit_xor("x").alias("ex"), F.bit_xor("y").alias("ey"))
+    classes = materialize(classes.where(F.col("en") >= support), "entities")
+    ids = rows.where("not _key.none").groupBy("_key").agg(F.count("*").alias("n"))
     again = materialize(ids.where("n > 1").select("_key"), "repeated-ids")
-    repeats, total = again.count(), ids.count()
-    once = attach(anti(rows, again, "_key") if repeats else rows, held, "entities", "left")
-    sums = word_counts(once)
-    if repeats:
-        sums = sums.unionByName(word_rows(attach(semi(rows, again, "_key"), held, "entities", "left")))
-    sums = materialize(sums.groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= support), "word-sums")
-    pairs = sums.where("entity is not null").withColumnRenamed("n", "together")
-    counts = sums.where("entity is null").select("term", F.col("n").alias("in_documents"))
-    known = pairs.join(of_entity, "entity").join(counts, "term")
-    n = F.lit(float(max(total, 1)))
-    both = F.col("together") / n
-    apart = F.col("of_entity") / n * (F.col("in_documents") / n)
+    total = float(max(ids.count(), 1))
+    most = classes.agg(F.max("en")).first()[0] or 0
+
+    def bound(n: F.Column) -> F.Column:
+        return F.pow(F.lit(total), F.lit(1 - threshold)) * F.pow(n, F.lit(threshold)) * (1 + 1e-9)
+
+    once = rows.where("not _key.none")
+    if again.count():
+        twice = word_rows(semi(once, again, "_key")).select("term", F.lit(1).cast("long").alias("n"), *_marks())
+        sums = term_sums(anti(once, again, "_key").select("text", *_marks())).unionByName(twice)
+    else:
+        sums = term_sums(once.select("text", *_marks()))
+    sums = sums.groupBy("term").agg(F.sum("n").alias("tn"), F.bit_xor("x").alias("tx"), F.bit_xor("y").alias("ty"))
+    terms = materialize(sums.where((F.col("tn") >= support) & (F.col("tn") <= bound(F.lit(float(most))))), "terms")
+
+    own = materialize(holders.join(classes, "entity").select("_key", "en", "ex", "ey").distinct(), "entity-classes")
+    held = word_rows(semi(rows, own.select("_key").distinct(), "_key"))
+    held = materialize(held.join(terms, "term"), "held-terms")
+    pairs = own.join(held.select("_key", "tn", "tx", "ty").distinct(), "_key").where((F.greatest("en", "tn") <= bound(F.least("en", "tn"))) & ~F.col("_key.none"))
+    kinds = ["en", "ex", "ey", "tn", "tx", "ty"]
+    both = F.col("n") / F.lit(total)
+    apart = F.col("en") / F.lit(total) * (F.col("tn") / F.lit(total))
     npmi = F.when(both >= 1, F.lit(1.0)).otherwise(F.log(both / apart) / -F.log(both))
-    return known.where(npmi >= threshold).select("entity", "term")
+    found = materialize(pairs.groupBy(*kinds).agg(F.count("*").alias("n")).where((F.col("n") >= support) & (npmi >= threshold)).select(*kinds), "disclosing")
+    told = own.join(found, ["en", "ex", "ey"]).select("_key", "tn", "tx", "ty").distinct()
+    # as many as the document has distinct words, at most
+    return told.join(held, ["_key", "tn", "tx", "ty"]).groupBy("_key").agg(F.collect_set("term").alias("terms"))
 
 
 def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,10 +254,7 @@ def find(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, id_col: s
 def _find(rows: DataFrame, threshold: float, support: int) -> DataFrame:
     base = materialize(find_base(rows), "base-spans")
     holders = materialize(base.select("_key", F.explode("entities").alias("entity")).distinct(), "holders")
-    found = materialize(disclosing(rows, holders, threshold=threshold, support=support), "disclosing")
-    terms = found.groupBy("entity").agg(F.collect_list("term").alias("terms"))
-    marks = holders.join(terms, "entity").groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    marks = materialize(marks, "marks")
+    told = materialize(marks(rows, holders, threshold=threshold, support=support), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +266,8 @@ def _find(rows: DataFrame, threshold: float, support: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "base", "spans"])
 
     # only rows of documents with terms are read again
-    marked = attach(rows, marks, "terms", "inner").select("doc_id", "text", "terms").mapInArrow(run, f"doc_id long, {_SPANS.format('base')}, {_SPANS.format('spans')}")
-    return anti(base, marks.select("_key"), "_key").select("doc_id", F.col("spans").alias("base"), "spans").unionByName(marked)
+    marked = attach(rows, told, "terms", "inner").select("doc_id", "text", "terms").mapInArrow(run, f"doc_id {_id_type(rows)}, {_SPANS.format('base')}, {_SPANS.format('spans')}")
+    return anti(base, told.select("_key"), "_key").select("doc_id", F.col("spans").alias("base"), "spans").unionByName(marked)
 
 
 def spans_text(column: str) -> F.Column:
@@ -275,10 +294,15 @@ def sanitise(docs: DataFrame, *, threshold: float = 0.9, support: int = 3, id_co
     id, each takes the spans found for an equal text.
     """
     session(docs.sparkSession)
-    # spans are known by the hash of id and text, so rows that repeat both share them
+    # spans are known by two hashes of id and text, so rows that repeat both share them; others agree with odds of 2**-128
     mark, spans = fresh(docs, "_mark"), fresh(docs, "_spans")
-    marked = docs.withColumn(mark, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = _keyed(docs, id_col, text_col).withColumn("doc_id", F.xxhash64("doc_id", "text"))
+
+    def number(*values: F.Column) -> F.Column:
+        return F.struct(*[F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "x"), (2, "y"))])
+
+    marked = docs.withColumn(mark, number(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    rows = _keyed(docs, id_col, text_col)
+    rows = rows.withColumn("doc_id", number(F.col("doc_id"), F.col("text")))
     found = _find(rows, threshold, support).where("size(spans) > 0")
     found = materialize(found.groupBy(F.col("doc_id").alias(mark)).agg(F.first("spans").alias(spans)), "spans")
     joined = marked.join(found, mark, "left")

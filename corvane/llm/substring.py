@@ -24,7 +24,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.llm.bpe import Memo
-from corvane.llm.common import session
+from corvane.llm.common import range_cuts, session
 
 #: About so many characters a block and windows a range of hashes.
 BLOCK_CHARS, RANGE_WINDOWS = 6 << 20, 1 << 21
@@ -130,25 +129,16 @@ class Deal:
 
     @classmethod
     def of(cls, rows: DataFrame, block_chars: int, least: int) -> Deal:
-        """Ranges of about ``block_chars`` characters.  The driver gets a sum for each eighth of a block."""
-        total = rows.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
-        n = 8 * max(least, -(-total // block_chars))
-        found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)).first()[0] or []
-        often = {v for v, k in Counter(found).items() if k > 1}  # an id of many rows gets a range of its own
-        fine = np.array(sorted({*found, *(v - 1 for v in often if v > -(1 << 63))}), np.int64)
-        sums = np.zeros(len(fine) + 2, np.int64)
-        for r in rows.groupBy(cls(fine, np.arange(len(fine) + 3)).block().alias("k")).agg(F.sum(F.length("text")).alias("chars")).collect():
-            sums[r["k"]] = r["chars"]
+        """Ranges of about ``block_chars`` characters.  The driver gets a row for each."""
+        sizes = rows.select(F.col("doc_id").alias("value"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("weight"))
+        one = sizes.agg(F.sum("weight").alias("chars"), F.sum(F.when(F.col("value").isNull(), F.col("weight"))).alias("none")).first()
+        total, none = one["chars"] or 0, one["none"] or 0
         size = max(1, min(block_chars, total // least))
-        cuts, parts, held = [], [], 0
-        for k, cut in enumerate(fine.tolist()):
-            held += int(sums[k])
-            if held >= size or cut in often or cut + 1 in often:
-                cuts.append(cut)
-                parts.append(max(1, -(-held // size)) if cut in often else 1)
-                held = 0
-        parts += [1, max(1, -(-int(sums[-1]) // size))]
-        return cls(np.array(cuts, np.int64), np.concatenate([[0], np.cumsum(parts)]), total)
+        found = range_cuts(sizes, size)
+        split = lambda weight, n: max(1, min(n, -(-weight // size)))
+        # an id of many rows gets several blocks, other ids one, and the null ids, which come last, as many as they fill
+        parts = [split(r["weight"], r["rows"]) if r["own"] else 1 for r in found] + [1, split(none, none)]
+        return cls(np.array([r["cut"] for r in found], np.int64), np.concatenate([[0], np.cumsum(parts)]), total)
 
     def block(self) -> Column:
         """The block of a row with ``doc_id`` and ``text``; found by bisection, on eight bytes a row."""

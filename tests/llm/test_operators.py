@@ -387,14 +387,74 @@ def test_sql(spark, name):
 
 
 def test_pipeline(spark):
-    """The stages in a row; of the tables written on the way one is left."""
+    """Two pipelines at once in one driver; of the tables that each writes on its way one is left, and other callers' tables stay."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pathlib import Path
+
     import corpus_pipeline
-    from corvane.llm.common import made
+    from corvane.llm.common import materialize, scratch_root
+
+    other = materialize(spark.range(5), "of-another-caller")
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    before = set(root.iterdir())
+    with ThreadPoolExecutor(2) as pool:
+        outs = list(pool.map(lambda _: corpus_pipeline.run(spark, "/root/testdata/sf0.001"), range(2)))
+    assert len(set(root.iterdir()) - before) == 2
+    rows = [sorted(map(str, out.select("doc_id", "n_tokens", "decoded_sha256").collect())) for out in outs]
+    assert outs[0].columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and rows[0] == rows[1] and rows[0]
+    assert other.count() == 5
+
+
+def test_range_cuts(spark):
+    """Ranges cover all values in order, are about as heavy as asked, and a heavy value is alone in its own."""
+    from corvane.llm.common import range_cuts
+
+    rng = np.random.default_rng(8)
+    weights = {int(v): int(w) for v, w in zip(rng.choice(100_000, 3000, replace=False), rng.integers(0, 30, 3000), strict=True)}
+    weights |= {50_001: 900, 50_002: 5, 50_003: 700, -7: 300}
+    rows = [(v, 1) for v, w in weights.items() for _ in range(w)] + [(v, 0) for v in weights] + [(None, 5)]
+    found = range_cuts(spark.createDataFrame(rows, "value long, weight long"), 200)
+    assert sum(r["weight"] for r in found) == sum(weights.values()) and sum(r["rows"] for r in found) == len(rows) - 1
+    cuts = [r["cut"] for r in found]
+    assert cuts == sorted(set(cuts)) and cuts[-1] == max(weights)
+    own = [r["cut"] for r in found if r["own"]]
+    assert own == [-7, 50_001, 50_003] and 50_002 in cuts
+    below = 0
+    for r in found:
+        inside = {v: w for v, w in weights.items() if (not below or v > below) and v <= r["cut"]} if below or r is found[0] else {}
+        assert sum(inside.values()) == r["weight"] and (r["own"] or r["weight"] < 2 * 200)
+        below = r["cut"]
+    assert range_cuts(spark.createDataFrame([], "value long, weight long"), 5) == []
+
+
+def test_disclosing_many_entities_and_words(spark, monkeypatch):
+    """A document of many addresses and words that is copied: rows grow with addresses and words, not with their pairs."""
+    words = " ".join(f"w{i}" for i in range(1200))
+    addresses = " ".join(f"user{i}@host{i}.example" for i in range(400))
+    rows = [(i, f"{addresses} {words}") for i in range(3)] + [(10 + i, f"w{i} lake user{i}@host{i}.example") for i in range(30)] + [(50 + i, "lake w1") for i in range(200)]
+    docs, made, real = spark.createDataFrame(rows, "doc_id long, text string"), {}, pii.materialize
+
+    def counting(frame, name):
+        out = real(frame, name)
+        made[name] = out.count()
+        return out
 
-    mark = made()
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
-    assert made() == mark + 1
+    monkeypatch.setattr(pii, "materialize", counting)
+    got = sorted(map(tuple, pii.find(docs).select("doc_id", pii.spans_text("spans").alias("s")).collect()))
+    assert got == sorted(brute.op10_all(pd.DataFrame(rows, columns=["doc_id", "text"])))
+    assert any("term" in s for _, s in got) and max(made.values()) <= 3 * (3 * 400 + 3 * 1200 + 1000)
+
+
+def test_disclosing_random(spark):
+    rng = random.Random(12)
+    for threshold in (0.9, 0.6):
+        rows = []
+        for i in range(80):
+            own = rng.sample(range(8), rng.randint(0, 3))
+            rows.append((rng.choice([i, i, i, 5, None]), " ".join([f"u{e}@h.example x{e} y{e // 2}" for e in own] + [f"z{rng.randint(0, 9)}" for _ in range(4)])))
+        got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).select("doc_id", pii.spans_text("spans").alias("s")).collect()
+        want = brute.op10_all(pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}), threshold)
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_pipeline_rows(spark):
