@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import bpe, langid, minhash, mix, pii
-from corvane.llm.common import forget, made, materialize
+from corvane.llm.common import materialize, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; of the tables written on the way the last stage's input stays."""
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        forget(spark, mark)  # what the stage wrote for itself, and the stage before
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark) as own:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.drop_but_last()  # what the stage wrote for itself, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
