@@ -203,8 +203,8 @@ def call_model(
     calls = calls.select("transcript_id", "dimension", "batch_no", "prompt")
     budget, seconds, concurrency = None, 60.0, 1
     if limits:
-        extra = max_tokens + max((estimate(system(r["dimension"])) for r in calls.select("dimension").distinct().collect()), default=0)  # the rubrics' names
-        largest = (calls.agg(F.max(F.length("prompt"))).first()[0] or 0) // TOKEN_CHARS + 1 + extra
+        sizes = calls.groupBy("dimension").agg(F.max(F.length("prompt")).alias("n")).collect()  # a row for each dimension
+        largest = max((estimate(system(r["dimension"])) + (r["n"] or 0) // TOKEN_CHARS + 1 for r in sizes), default=0) + max_tokens
         tasks, concurrency = limits.tasks(largest), limits.concurrency
         calls = calls.repartition(tasks)
         budget, seconds = limits.tokens and limits.tokens // tasks, limits.seconds

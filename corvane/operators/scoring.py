@@ -129,10 +129,24 @@ def score(
     part's phrase count beside evasiveness: 0 without such a part.
     """
     called = call_model(requests(assembled, dimensions), scorers, model, **options)
+    return _scored(called, keyword_result(assembled, phrases).select("transcript_id", "total_count"), model)
+
+
+def score_rows(
+    chunks: DataFrame, scorers: Mapping[str, Scorer] | Scorer | None, *, model: str = "offline",
+    dimensions: Sequence[str] = DIMENSIONS, phrases: Sequence[str] = X.DODGE_PHRASES, **options,
+) -> DataFrame:
+    """As :func:`score`, from rows ``transcript_id, chunk_index, chunk_text``: no transcript is ever one row."""
+    called = call_model(requests_by_rows(chunks, dimensions), scorers, model, **options)
+    hits = question_rows(chunks).select("transcript_id", F.explode(P.counts(F.col("chunk_text"), phrases)).alias("f"))
+    summed = hits.groupBy("transcript_id").agg(F.sum("f.n").cast("int").alias("total_count"))
+    return _scored(called, summed, model)
+
+
+def _scored(called: DataFrame, counts: DataFrame, model: str) -> DataFrame:
     parsed = called.withColumn("p", responses.parse(F.col("raw"), F.concat("dimension", F.lit("_score")))).select("*", "p.score", "p.quotes").drop("p")
     done = responses.combine(parsed, ["transcript_id", "dimension"])
-    counts = keyword_result(assembled, phrases).select("transcript_id", "total_count")
-    done = done.join(counts, "transcript_id", "left").withColumn("total_count", F.when(F.col("dimension") == "evasiveness", F.col("total_count")))
+    done = done.join(counts, "transcript_id", "left").withColumn("total_count", F.when(F.col("dimension") == "evasiveness", F.coalesce("total_count", F.lit(0))))
     return done.withColumns({"model_name": F.lit(model), "prompt_version": F.concat("dimension", F.lit("-v1"))})
 
 
@@ -142,14 +156,14 @@ def unparsed(results: DataFrame) -> DataFrame:
     return bad.select("transcript_id", "dimension", F.substring("raw_response", 1, LOGGED_CHARS).alias("raw_start"))
 
 
-def _run(spark: SparkSession, paths: store.Paths, assembled: DataFrame, scorers, resume: str | None, **options) -> DataFrame:
-    """Score, and keep the results in the run's own folder; its ledger goes once they are there.
+def _run(spark: SparkSession, paths: store.Paths, chunks: DataFrame, scorers, resume: str | None, **options) -> DataFrame:
+    """Score chunk rows, and keep the results in the run's own folder; its ledger goes once they are there.
 
     ``resume`` names a run that died: what it had answered is not asked again.
     """
     run = resume or uuid.uuid4().hex
     calls, kept = f"{paths.calls}/{run}", f"{paths.results}/run={run}"
-    results = score(assembled, scorers, ledger=Ledger(calls), **options)
+    results = score_rows(chunks, scorers, ledger=Ledger(calls), **options)
     results.write.mode("overwrite").parquet(kept)
     store.delete(spark, calls)
     return spark.read.schema(results.schema).parquet(kept)
@@ -170,11 +184,11 @@ def score_and_store(
     the run's folder of the table of results, so storing them calls no model again.
     """
     transcripts = store.restrict(store.transcripts(spark, paths.transcripts), company, None, year)
-    assembled = store.assemble(transcripts)
+    chunks = store.with_transcript_id(transcripts)
     if skip_existing:
         done = store.fully_scored(store.table(spark, paths.scores, SCORES), transcripts)
-        assembled = assembled.join(done.select(*store.KEY), list(store.KEY), "left_anti")
-    results = _run(spark, paths, assembled, scorers, resume, **options)
+        chunks = chunks.join(done.select(*store.KEY), list(store.KEY), "left_anti")
+    results = _run(spark, paths, chunks, scorers, resume, **options)
     stamped = _stamped(results)
     store.upsert_scores(spark, paths.scores, stamped.where("score is not null"))
     store.append_runs(paths.runs, stamped.where(~F.col("error").isin(NO_QUESTIONS, NOT_CONFIGURED) | F.col("error").isNull()))
@@ -189,10 +203,10 @@ def evaluate(
 
     Returns the results with the transcripts' keys; :func:`metrics` sums them up.
     """
-    assembled = store.assemble(store.restrict(store.transcripts(spark, paths.transcripts), company, quarter, year))
-    results = _run(spark, paths, assembled, scorers, resume, dimensions=(dimension,), **options)
+    chunks = store.with_transcript_id(store.restrict(store.transcripts(spark, paths.transcripts), company, quarter, year))
+    results = _run(spark, paths, chunks, scorers, resume, dimensions=(dimension,), **options)
     store.append_runs(paths.runs, _stamped(results.where("score is not null")))
-    return results.join(assembled.select("transcript_id", *store.KEY), "transcript_id")
+    return results.join(chunks.select("transcript_id", *store.KEY).distinct(), "transcript_id")
 
 
 def metrics(results: DataFrame) -> DataFrame:

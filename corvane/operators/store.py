@@ -124,6 +124,12 @@ def assemble(transcripts: DataFrame) -> DataFrame:
     return transcripts.groupBy(*KEY).agg(F.min_by("id", "chunk_index").alias("transcript_id"), ordered.alias("chunks"))
 
 
+def with_transcript_id(transcripts: DataFrame) -> DataFrame:
+    """Add ``transcript_id``, the id of the transcript's first chunk, to each chunk."""
+    first = transcripts.groupBy(*KEY).agg(F.min_by("id", "chunk_index").alias("transcript_id"))
+    return transcripts.join(first, list(KEY))
+
+
 def fully_scored(scores: DataFrame, transcripts: DataFrame, n: int = len(DIMENSIONS)) -> DataFrame:
     return with_scores(scores, transcripts).groupBy(*KEY).agg(F.countDistinct("dimension").alias("n_dimensions")).where(F.col("n_dimensions") == n)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import packing, scoring
-from corvane.plans import relations as rel
+from corvane.plans import catalog, relations as rel
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,15 @@ def test_requests_by_rows_are_the_requests(spark):
     assert key(packing.batches(rows, target=60).select("transcript_id", "batch_no", "batch")) == key(lists)
 
 
+def test_scores_by_rows_are_the_scores(spark):
+    calls = rel.calls(spark, SF).limit(40)
+    rows = calls.select("transcript_id", F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+    columns = ("transcript_id", "dimension", "score", "supporting_quotes", "raw_response", "error", "total_count", "calls", "total_tokens")
+    key = lambda frame: sorted(map(str, frame.select(*columns).collect()))
+    phrases = catalog.PHRASES
+    assert key(scoring.score_rows(rows, catalog.offline_scorer, phrases=phrases)) == key(scoring.score(calls, catalog.offline_scorer, phrases=phrases))
+
+
 def test_a_transcript_of_a_million_chunks(spark):
     frame = spark.range(1_000_000).select(F.lit(1).alias("transcript_id"), F.col("id").alias("chunk_index"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.hash("id") % 5 + 5).cast("int"))).alias("chunk_text"))
     found = packing.batches(frame).select("batch_no", F.size("batch").alias("n"), F.aggregate("batch", F.lit(0), lambda a, t: a + X.word_count(t)).alias("words"))

@@ -47,6 +47,7 @@ def test_equal_to_the_full_computation(spark, tmp_path):
 
 
 def test_reads_touched_companies_only(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else plans are cut short
     at, plans = store.Paths.under(str(tmp_path)), []
     rows = [(f"C{c}", "Q1", 2024, "f", [f"text {c}"]) for c in range(5)]
     store.replace_transcripts(spark, at.transcripts, spark.createDataFrame(rows, DOCS))
