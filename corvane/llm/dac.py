@@ -15,7 +15,9 @@ order; ``doc_ids`` (int64) and ``doc_lens`` (uint32) are little-endian arrays,
 blob.  Spark reads and writes it, so it lives in any store that Spark reaches.
 
 Null texts count as empty (only the end id is written); rows with a null id
-come first; repeated ids keep one entry for each row; extra columns are ignored;
+come first; repeated ids keep one entry for each row, next to each other and in no
+fixed order; a very long text is encoded whole and closes its segment; extra
+columns are ignored;
 an empty table gives a readable, empty file.
 """
 

@@ -10,7 +10,9 @@ fingerprints are equal exactly if the canonical texts are.
 Likeness of two fingerprints is 1 if they are equal, else 0: the method is an
 exact digest.  Null texts count as empty, and the empty text has a fingerprint
 as any other; null ids come last in descending order; repeated rows have equal
-fingerprints; extra columns are ignored; an empty table gives an empty result.
+fingerprints; of rows that share an id the one with the least hash comes first; a
+very long text is normalised whole, in the task that holds its row; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

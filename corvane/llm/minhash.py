@@ -21,7 +21,9 @@ comparisons inside tasks, but rows in proportion to its size (to its square
 over ``TILE``, once it is larger than a tile).
 
 Null or empty texts have an empty set and link with nothing; a null id links
-with nothing and counts as kept; rows that repeat an id count as one document;
+with nothing and counts as kept; rows that repeat an id count as one document; of
+equal texts the least id stands for all; a very long text is read whole, in the
+task that holds its row, and its set moves only if it is a candidate;
 extra columns are ignored; an empty table gives an empty result.
 """
 

@@ -15,8 +15,10 @@ running sums that this needs are taken in 4,096 hash buckets for each source
 and over the buckets' totals, so a hot source never meets in one task.
 
 Null or empty texts have size 0 and are taken 0 times; a null source is a
-source of its own; repeated rows count as documents of their own; extra columns
-are kept; an empty table gives an empty result.  With the same seed and rows,
+source of its own; repeated rows count as documents of their own; ties in the
+hash order go by id; a very long text is counted whole, and as a heavy document is
+fitted in before the light ones; extra columns are kept; an empty table gives an
+empty result.  With the same seed and rows,
 reruns agree.
 """
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, dac, embed, fingerprint, langid, minhash, mix, pii, substring, wordpiece
+from corvane.llm import bpe, dac, embed, fingerprint, langid, minhash, mix, periodic, pii, substring, suffix, wordpiece
 from corvane.llm.queries import QUERIES
 from tests.llm import brute
 from tests.llm.test_operators import same
@@ -129,6 +129,8 @@ OPERATORS = {
     "language_kept": lambda d: langid.keep_known(d, langid.fit(d)),
     "token_file": _file,
     "token_counts": lambda d: wordpiece.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")),
+    "periodic": periodic.periodic_runs,
+    "suffix": suffix.remove_repeats,
     "pii": pii.find,
     "pii_texts": pii.sanitise,
 }
@@ -138,6 +140,65 @@ CLASHES = "_id long, id long, band long, rep long, ids string, _lang string, ran
 FEWER = {"minhash_kept": 7, "language_kept": 6}
 
 
+def _by_id(pairs) -> list[tuple]:
+    return sorted(((-1 if doc is None else doc, *rest) for doc, *rest in pairs), key=str)
+
+
+def check_values(name: str, found: list[dict], rows: list[tuple]) -> None:
+    """What each operator gives for ``rows`` (id, text), whatever the ids: null, repeated or not."""
+    texts = [(doc, text or "") for doc, text in rows]
+    columns = lambda *names: _by_id(tuple(r[c] for c in names) for r in found)
+    if name == "bpe":
+        plain = brute.op1(pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+        assert columns("doc_id", "n_tokens") == _by_id((None if pd.isna(d) else int(d), int(n)) for d, n in zip(plain.doc_id, plain.n_tokens, strict=True))
+        assert _by_id((r["doc_id"], bytes(r["decoded"])) for r in found) == _by_id((d, t.encode()) for d, t in texts)
+    if name == "mix":
+        assert columns("doc_id", "size") == _by_id((d, len(brute.WORD.findall(t))) for d, t in texts)
+        assert all(r["taken"] == r["repeats"] * r["size"] and 0 <= r["repeats"] <= 2 for r in found)
+    if name == "minhash":
+        sets = [(d, t.lower().split()) for d, t in texts]
+        assert columns("doc_id", "n_shingles") == _by_id((d, len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0) for d, w in sets)
+    if name == "substring":
+        assert columns("doc_id", "n_words") == _by_id((d, len(t.split())) for d, t in texts)
+        assert all(r["n_words"] == r["n_removed"] + len(r["kept"].split()) for r in found)
+    if name == "fingerprint":
+        of: dict = {}
+        for r in found:
+            of.setdefault(r["doc_id"], []).append(r["fingerprint"])
+        for doc, names in of.items():
+            assert len(set(names)) == len({t for d, t in texts if d == doc})
+    if name == "edits":
+        assert columns("doc_id", "n_chars") == _by_id((d, len(t)) for d, t in texts)
+        assert all(r["near_edited"] in (0.0, 1.0) and r["near_next"] in (0.0, 1.0) for r in found)
+    if name == "language":
+        letter = re.compile(r"[^\W\d_]")
+        assert _by_id((r["doc_id"], r["lang_pred"] == "und") for r in found) == _by_id((d, letter.search(t) is None) for d, t in texts)
+        assert all(0 <= r["score"] <= 1 for r in found)
+    if name == "token_file":
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(WORD_VOCABULARY)
+        library.encode_special_tokens = True
+        want = [(d, [*library.encode(t, add_special_tokens=False).ids, 1]) for d, t in texts]
+        assert _by_id((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found) == _by_id(want)
+        order = sorted(found, key=lambda r: r["start"])
+        assert [r["start"] for r in order] == np.cumsum([0, *[r["n_tokens"] for r in order]])[:-1].tolist()
+        ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in order]
+        assert ids == sorted(ids)
+    if name == "token_counts":
+        plain = brute.op9(pd.DataFrame({"doc_id": [-1 if d is None else d for d, _ in rows], "text": [t for _, t in rows]}), wordpiece.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+        assert _by_id(tuple(r.values()) for r in found) == _by_id(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in plain[list(found[0])].itertuples(index=False))
+    if name == "pii":
+        assert _by_id((r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["base"]]) for r in found) == _by_id((d, brute.pii_spans(t)) for d, t in texts)
+    if name == "pii_texts":
+        assert _by_id((r["doc_id"], "@" in (r["text"] or "")) for r in found) == _by_id((d, False) for d, t in texts)
+    if name == "periodic":
+        assert columns("doc_id", "n_words", "collapsed") == _by_id((d, len(t.split()), " ".join(t.split())) for d, t in texts)
+    if name == "suffix":
+        assert columns("doc_id", "n_bytes") == _by_id((d, len(t.encode())) for d, t in texts)
+        assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in found)
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_null_and_repeated_ids(spark, name):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen mail a.b@c.example.org"
@@ -153,6 +214,7 @@ def test_null_and_repeated_ids(spark, name):
     else:
         assert len(out) == FEWER.get(name, 8)
     found = [r.asDict() for r in out]
+    check_values(name, found, [(r[0], r[1]) for r in rows])
     if name == "minhash":
         assert [r["component_id"] for r in found if r["doc_id"] in (3, 5)] == [3, 3, 3] and all(r["kept"] for r in found if r["doc_id"] is None)
     if name == "substring":
@@ -160,3 +222,19 @@ def test_null_and_repeated_ids(spark, name):
     if name == "embeddings":
         assert [r["n_links"] for r in found if r["doc_id" if "doc_id" in r else "vec_id"] == 3] == [2, 2]
     assert OPERATORS[name](docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"mix_sample", "minhash_kept", "language_kept", "embeddings"}))
+def test_long_texts(spark, name):
+    """A text of two megabytes beside short ones, in rows of their own and of one id."""
+    rng = np.random.default_rng(11)
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäé"), rng.integers(2, 9))) for _ in range(20_000)]
+    words = [stems[i] for i in rng.integers(0, len(stems), 300_000)]
+    words[150_000] = "first.last@mail.example.org"
+    long = " ".join(words)
+    assert len(long.encode()) > 1_800_000
+    rows = [(1, long), (2, " ".join(words[:400])), (None, " ".join(words[1000:1400])), (2, "short one")]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    found = [r.asDict() for r in OPERATORS[name](docs).collect()]
+    check_values(name, found, rows)
+    assert len(found) == 4
