@@ -16,7 +16,7 @@ from corvane.llm.common import materialize, scratch
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: no text (null or empty), or no letter in it.
 
-    Null and repeated ids are judged by their texts; an empty table stays empty.
+    Null and repeated ids are judged by their texts, of any length; ties of languages change no row; an empty table stays empty.
     """
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.keep_known(docs, model)
@@ -25,7 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays.
 
-    Documents without text or id stay, rows that repeat an id stay or go together; an empty table stays empty.
+    Documents without text or id stay, rows that repeat an id stay or go together; of equal texts the least id stays;
+    a text of any length is compared whole; an empty table stays empty.
     """
     return minhash.deduplicate(docs)
 
@@ -33,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it give way to placeholders; ``n_chars`` follows.
 
-    Null texts stay null; rows that repeat an id are cleaned each by its own text; an empty table stays empty.
+    Null texts stay null; rows that repeat an id are cleaned each by its own text, of any length; of spans that overlap
+    the first names the placeholder; an empty table stays empty.
     """
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else clean
@@ -43,13 +45,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document's row as often as the mix takes it.
 
     Documents without a word go, as they weigh nothing; a null source is a source; rows that repeat an id are taken
-    alike; an empty table stays empty.
+    alike; ties in the choice go by id; a text of any length counts with all its words; an empty table stays empty.
     """
     return mix.sample(docs, mix.mix(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of each row; a null text has no ids, an empty table no rows."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of each row, also of repeated and null ids; a null text has no ids, an
+    empty table no rows; of equally ranked pairs the leftmost merges first; a text of any length is encoded whole."""
     import public_tokenizers
 
     args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
