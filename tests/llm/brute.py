@@ -47,6 +47,28 @@ def op1(docs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def choice(docs: pd.DataFrame, keys: dict, want: dict) -> dict:
+    """How often the mix takes each document: whole epochs, and once more in the order of ``keys``, heavy documents first, up to the rest of the target."""
+    taken = {}
+    rows = [(s, keys[d], d, len(WORD.findall(t or ""))) for d, t, s in zip(docs.doc_id, docs.text, docs.source, strict=True)]
+    for source, (size, target) in want.items():
+        own = sorted(r[1:] for r in rows if r[0] == source or (r[0] is None and source is None))
+        epochs = target / size if size else 0
+        whole, got = int(epochs), 0
+        rest = (epochs - whole) * size
+        heavy = [r for r in own if r[2] and 32 * r[2] >= size]
+        light = [r for r in own if r not in heavy]
+        for part, wanted in ((heavy, lambda: rest * sum(r[2] for r in heavy) / size), (light, lambda: rest - got)):
+            most, held, found = wanted() if size else 0, 0, 0
+            for _, doc, n in part:
+                held += n
+                more = n > 0 and held - n / 2 < most
+                taken[doc] = whole + more if n else 0
+                found += n * more
+            got += found
+    return taken
+
+
 def targets(docs: pd.DataFrame, weights=(3, 1, 2), share=1.5, most=2.0) -> dict:
     """Water-filling by repeated resharing."""
     sizes = defaultdict(int)

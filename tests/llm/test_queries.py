@@ -43,6 +43,38 @@ def test_op2(spark, plain):
         assert abs(rows.taken.sum() - target) <= max(rows["size"].max(), 1)
 
 
+def test_op2_choice(spark, plain):
+    """The very documents that the seeded choice takes, and how often."""
+    docs = plain.astype(object).where(plain.notna(), None)
+    keys = {r["doc_id"]: r["k"] for r in spark.createDataFrame([(int(d),) for d in docs.doc_id], "doc_id long").select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("k")).collect()}
+    got = result(spark, "op2_mix_sources")
+    assert dict(zip(got.doc_id, got.repeats, strict=True)) == brute.choice(docs, keys, brute.targets(docs))
+
+
+def test_op7_against_a_plain_classifier(spark):
+    """Of another kind, learnt from the same folds: naive Bayes on letters' trigrams.  The two agree on nearly all held-out documents."""
+    from collections import Counter
+    from zlib import crc32
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    grams = lambda t: [w[i : i + 3] for w in re.findall(r"[^\W\d_]+", t.lower()) for w in [f" {w} "] for i in range(len(w) - 2)]
+    held = np.array([crc32(str(d).encode()) % 5 == 0 for d in docs.doc_id])
+    counts: dict[str, Counter] = {}
+    for text, lang in zip(docs.text[~held], docs.lang[~held], strict=True):
+        if lang is not None and text:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    sums = {lang: sum(c.values()) + 1000 for lang, c in counts.items()}
+    score = lambda lang, own: sum(n * np.log((counts[lang][g] + 0.1) / sums[lang]) for g, n in own.items())
+    got = QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id").lang_pred
+    same_, n = 0, 0
+    for doc, text in zip(docs.doc_id[held], docs.text[held], strict=True):
+        own = Counter(grams(text or ""))
+        if sum(own.values()) >= 40:
+            n += 1
+            same_ += max(counts, key=lambda lang: score(lang, own)) == got[doc]
+    assert n > 100 and same_ >= 0.97 * n
+
+
 def test_op5(spark, plain):
     got = result(spark, "op5_fingerprint").sort_values("doc_id", ascending=False).reset_index(drop=True)
     want = brute.op5(plain)
