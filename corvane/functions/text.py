@@ -102,7 +102,9 @@ def pack(units: Column, target: int) -> Column:
     """Units to groups in order; a group that would pass ``target`` words is closed first; long units stay whole.
 
     The units' words are counted once; the fold runs over these counts and keeps
-    only where groups start, so it is linear in the text.
+    only where groups start.  A new group copies that list, so beside the units'
+    number the cost grows with the square of the groups'; texts of very many
+    groups are packed across rows by :mod:`corvane.operators.packing`.
     """
     zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("at"))
 
