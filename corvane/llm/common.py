@@ -177,4 +177,11 @@ def range_cuts(values: DataFrame, size: int) -> list[Row]:
     fill = F.floor((F.sum("weight").over(up_to) - F.lit(1)) / size)
     ranges = placed.withColumns({"before": before, "fill": F.when(F.col("own"), F.lit(0)).otherwise(fill)}).groupBy("part", "before", "own", "fill")
     found = ranges.agg(F.max("value").alias("cut"), F.sum("weight").alias("weight"), F.sum("n").alias("rows")).select("cut", "weight", "rows", "own")
-    return sorted(found.collect(), key=lambda r: r["cut"])
+    out: list[Row] = []
+    for r in sorted(found.collect(), key=lambda r: r["cut"]):
+        last = out[-1] if out else None
+        if last and not (last["own"] or r["own"]) and last["weight"] + r["weight"] <= size:  # where a part began
+            out[-1] = Row(cut=r["cut"], weight=last["weight"] + r["weight"], rows=last["rows"] + r["rows"], own=False)
+        else:
+            out.append(r)
+    return out
