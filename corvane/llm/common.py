@@ -14,30 +14,14 @@ import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
-from corvane.session import ship
+from corvane.session import bounded as session
 
 #: A key column is broadcast only if its rows, counted first, stay below this many bytes.
 BROADCAST_BYTES = 24 << 20
-#: Rows and bytes handed to a Python worker at once, at most; one longer row is a batch of its own.
-ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 #: A word: a maximal run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches by rows and bytes, and let workers find this package.
-
-    These settings hold for the session from here on, as its queries run later
-    than this; lower ones of the caller stay.
-    """
-    ship(spark)
-    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b"))
-        if not 0 < now <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    return spark
-
-
 @contextmanager
 def uncollected() -> Iterator[None]:
     """Without Python's search for cycles: code that makes many objects and no cycles spends much of its time in it."""

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.functions import phrases as P
@@ -54,3 +55,21 @@ def test_time_grows_with_the_hits(spark):
 
     seconds(1000)
     assert min(seconds(160_000) for _ in range(2)) <= 5 * min(seconds(40_000) for _ in range(3))
+
+
+def test_memory_follows_neither_rows_nor_hits(spark):
+    """Texts reach Python a few hundred at a time, and their hits leave it a few megabytes at a time, also within one text."""
+    texts = ["the quick the end " * 20_000, None, "", "no hit", "the\nsame", "in the of the"]
+    read = pa.RecordBatch.from_pydict({"id": pa.array(range(6)), "tag": pa.array(list("abcdef")), "text": texts})
+    parts = list(P.contexts(("the", "of the"))(iter([read])))
+    assert len(parts) > 1 and max(p.nbytes for p in parts) < 3 * P.OUT_BYTES
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [r["hit_no"] for r in rows if r["tag"] == "a"] == list(range(40_000))
+    assert sorted(tuple(r.values()) for r in rows if r["id"] > 0) == [(4, "e", 1, 0, "the same"), (5, "f", 1, 0, "in the of the"), (5, "f", 1, 1, "in the of the"), (5, "f", 2, 0, "in the of the")]
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = scoring.phrase_hits(spark.range(3000, numPartitions=1).select("id", F.lit("the").alias("chunk_text")), ("the",))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert found.agg(F.count("*"), F.countDistinct("id")).first() == (3000, 3000)
+    only_text = scoring.phrase_hits(spark.createDataFrame([("in the",), (None,)], "chunk_text string"), ("the",))
+    assert only_text.columns == ["pos", "phrase", "hit_no", "context"] and [tuple(r) for r in only_text.collect()] == [(1, "the", 0, "in the")]
